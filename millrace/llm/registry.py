@@ -1,10 +1,11 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
-from . import media, sharding, topk
+from . import media, pii, sharding, topk
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
     "op2_media_columns": media.query,
+    "op7_pii_disclosure": pii.query,
     "op8_sharding": sharding.query,
 }
 ORACLE_SQL = {"op1_exact_top_k": topk.SQL}
