@@ -1,10 +1,12 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
-from . import media, pii, sharding, topk
+from . import bpe, media, pii, sharding, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
     "op2_media_columns": media.query,
+    "op4_bpe_automaton": bpe.query,
+    "op6_toxicity": toxicity.query,
     "op7_pii_disclosure": pii.query,
     "op8_sharding": sharding.query,
 }
