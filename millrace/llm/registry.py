@@ -1,10 +1,11 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
-from . import bpe, media, pii, sharding, topk, toxicity
+from . import bpe, media, packing, pii, sharding, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
     "op2_media_columns": media.query,
+    "op3_packing": packing.query,
     "op4_bpe_automaton": bpe.query,
     "op6_toxicity": toxicity.query,
     "op7_pii_disclosure": pii.query,
