@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
-from . import bpe, media, packing, pii, sharding, topk, toxicity
+from . import bpe, counts, media, packing, pii, sharding, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_pii_disclosure": pii.query,
     "op8_sharding": sharding.query,
+    "op9_token_counts": counts.query,
 }
 ORACLE_SQL = {"op1_exact_top_k": topk.SQL}
