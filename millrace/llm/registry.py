@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
-from . import bpe, counts, media, ngram_join, packing, pii, sharding, topk, toxicity
+from . import bpe, counts, media, ngram_join, packing, pii, sharding, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_pii_disclosure": pii.query,
     "op8_sharding": sharding.query,
     "op9_token_counts": counts.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {"op1_exact_top_k": topk.SQL}
