@@ -86,3 +86,16 @@ def map_texts(df: DataFrame, rows, schema: str, batch_rows: int = 512) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(k).cast(target.field(k).type) for k in range(n)] + [pa.array(c, target.field(n + k).type) for k, c in enumerate(new)], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def replaced(docs: DataFrame, text) -> list:
+    """The columns of ``docs`` out of the struct ``_row``, with ``text`` in place of the text, and its length in n_chars, if there is such a column."""
+    out = []
+    for f in docs.schema.fields:
+        if f.name == "text":
+            out.append(text.alias("text"))
+        elif f.name == "n_chars":
+            out.append(F.length(text).cast(f.dataType).alias("n_chars"))
+        else:
+            out.append(F.col("_row")[f.name].alias(f.name))
+    return out

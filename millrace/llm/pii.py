@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_of
+from .common import Scratch, replaced, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed by the contract, up to possessive quantifiers and the anchor that skips starts inside a run.
@@ -150,11 +150,13 @@ def redact(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, suppo
     Texts without an entity come back as they are, null ones as null.
     """
     scratch = Scratch(docs.sparkSession, "redact")
-    found = _found(docs)
-    terms = _disclosed_terms(docs, found, scratch, generalise, remove, support)
-    names = list(docs.columns)
+    # the input's columns travel in one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").cast("string").alias("text"))
+    found = _found(rows)
+    terms = _disclosed_terms(rows, found, scratch, generalise, remove, support)
     spans = _spans_of()
-    clean = found.filter(F.size(spans) == 0).select(*names)
+    clean = found.filter(F.size(spans) == 0).select("_row.*")
+
     def tag(kind):
         return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("by"))
 
@@ -167,10 +169,8 @@ def redact(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, suppo
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.aggregate(F.array_sort(F.concat(*tagged, more)), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    changed = found.filter(F.size(spans) > 0).join(terms, "_digest", "left").withColumn("_text", text).select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in names))
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(changed)
+    changed = found.filter(F.size(spans) > 0).join(terms, "_digest", "left").select("_row", text.alias("_text"))
+    return clean.unionByName(changed.select(*replaced(docs, F.col("_text"))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

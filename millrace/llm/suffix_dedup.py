@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import Scratch, slices, table, text_of
+from .common import Scratch, replaced, slices, table, text_of
 from .ngram_join import mixed
 
 WINDOW, GRAM, CHUNK = 100, 32, 1 << 16
@@ -379,34 +380,29 @@ def deduplicated(docs: DataFrame, least: int = 1) -> DataFrame:
 
     A cut that falls inside a character leaves out its other bytes, too.
     """
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    rows = _ordered(docs, scratch)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "suffixes")
+    # the input's columns travel in one struct, so that no name of theirs can clash
+    rows = _ordered(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), scratch)
     _, cover = _texts_and_cover(rows, scratch)
-    names = docs.columns
-    kept = scratch.keep(cover)
+    some = rows.join(scratch.keep(cover), "_ord", "left").select("_row", "cover", "text")
 
-    def run(batches):
+    def cut_texts(batches):
         for batch in batches:
-            at, size = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
-            own = batch.schema.get_field_index("cover")
             for part in slices(batch, 256):
                 texts, good = [], []
-                for text, covered in zip(part.column(at), part.column(own).to_pylist(), strict=True):
-                    if not covered:
+                for text, covered in zip(part.column(2), part.column(1).to_pylist(), strict=True):
+                    if covered:
+                        left, _ = cut(text.as_buffer().to_pybytes(), [(c["start"], c["stop"]) for c in covered])
+                        texts.append(left.decode("utf-8", "ignore"))
+                        good.append(len(left) >= least)
+                    else:
                         texts.append(text.as_py())
                         good.append(True)
-                        continue
-                    left, _ = cut(text.as_buffer().to_pybytes(), [(c["start"], c["stop"]) for c in covered])
-                    texts.append(left.decode("utf-8", "ignore"))
-                    good.append(len(left) >= least)
-                columns = {n: part.column(k) for k, n in enumerate(part.schema.names)}
-                columns["text"] = pa.array(texts, part.schema.field(at).type)
-                if size >= 0:
-                    columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], part.schema.field(size).type)
-                out = pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-                yield out.filter(pa.array(good, pa.bool_()))
-
-    return rows.join(kept, "_ord", "left").select(*names, "cover").mapInArrow(run, docs.schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(good, pa.bool_())], names=["_row", "_text", "_good"])
+
+    schema = StructType([some.schema["_row"], StructField("_text", StringType()), StructField("_good", BooleanType())])
+    return some.mapInArrow(cut_texts, schema).filter("_good").select(*replaced(docs, F.col("_text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
