@@ -15,8 +15,7 @@ from .common import Scratch
 def _rewired(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (u, v): each v gets an edge to the least of u and u's neighbours, and so does u itself; loops go."""
     least = scratch.keep(edges.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
-    joined = edges.join(least, "u")
-    out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+    out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     kept = scratch.keep(out.filter("u != v").distinct())
     scratch.drop(least)
     return kept

@@ -8,6 +8,10 @@ samples one coordinate, or with probability 1/4 two (1 / threshold in the mean),
 a pair at the threshold meets in one child in the mean. Buckets of at most SMALL sets, and those at depth ``DEPTH``, are compared by
 brute force. The runs are repeated until a pair at the threshold meets with probability ``recall`` even at the full depth.
 
+Buckets of near copies, or of much shared boilerplate, hardly fall apart by splitting, so each large bucket is peeled first: sets whose sketches
+may be linked to one of its pivots leave it, and every set that the triangle inequality lets be a partner of such a set is connected
+to the pivots. Only pivots with many sets around them are used, and each set gets one edge at most.
+
 Brute force compares sketches and yields a spanning forest of the pairs that may reach the threshold (five standard deviations of
 allowance), never the pairs themselves. The sets of each connected part are then brought together, large parts as pairs of blocks, and
 every pair is verified exactly by term-at-a-time counting of shared grams. Blocks return sums of links and spanning edges
@@ -30,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices, table, text_of
 from .components import components
 
-WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
+WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 COORDS, SMALL, DEPTH = 64, 256, 4
-BLOCK_GRAMS, BLOCK_DOCS = 400_000, 1000
+#: Pivots of a large bucket; a pivot counts if this share of the bucket may be linked to it.
+PIVOTS, SHARE = 4, 0.05
+BLOCK_GRAMS, BLOCK_DOCS = 400_000, 2000
 
 _rng = np.random.default_rng(20240501)
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -239,6 +245,33 @@ def _candidates(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     return dealt.mapInArrow(run, "u binary, v binary")
 
 
+def _peeled(large: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Edges u, v of the sets around the pivots of large buckets, and the rows of ``large`` that are still to be compared."""
+    picks = [F.min(F.struct(F.xxhash64("digest", F.lit(k)).alias("h"), "digest", "low")).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = scratch.keep(large.groupBy("bucket").agg(*picks).select("bucket", *(F.col(f"p{k}")[c].alias(f"{c}{k}") for k in range(PIVOTS) for c in ("digest", "low"))))
+    schema = pa.schema([("bucket", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("low", pa.binary()), *((f"d{k}", pa.int32()) for k in range(PIVOTS))])
+
+    def run(batches):
+        for batch in batches:
+            own, *others = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, COORDS) for k in range(3, 4 + PIVOTS))
+            apart = [pa.array((own != x).sum(axis=1).astype(np.int32)) for x in others]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *apart], schema=schema)
+
+    joined = large.join(pivots, "bucket").select("bucket", "size", "digest", "low", *(f"low{k}" for k in range(PIVOTS)))
+    names = ", ".join(f"d{k} int" for k in range(PIVOTS))
+    measured = scratch.keep(joined.mapInArrow(run, f"bucket long, size long, digest binary, low binary, {names}"))
+    around = measured.groupBy("bucket").agg(F.first("size").alias("_size"), *(F.count_if(F.col(f"d{k}") <= COORDS - least).alias(f"n{k}") for k in range(PIVOTS)))
+    good = around.join(pivots, "bucket")
+    valid = {k: F.col(f"n{k}") >= F.greatest(F.lit(16), F.col("_size") * SHARE) for k in range(PIVOTS)}
+    good = scratch.keep(good.select("bucket", F.coalesce(*(F.when(valid[k], F.col(f"digest{k}")) for k in range(PIVOTS))).alias("centre"), *(valid[k].alias(f"v{k}") for k in range(PIVOTS))))
+    judged = measured.join(good, "bucket")
+    within = lambda most: F.greatest(*(F.col(f"v{k}") & (F.col(f"d{k}") <= most) for k in range(PIVOTS)))
+    edges = scratch.keep(judged.filter(within(2 * (COORDS - least))).select(F.col("digest").alias("u"), F.col("centre").alias("v")).distinct())
+    rest = scratch.keep(judged.filter(~within(COORDS - least)).select("bucket", "size", "digest", "low"))
+    scratch.drop(measured, pivots, good)
+    return edges, rest
+
+
 def _paired_blocks(rows: DataFrame, blocks, block) -> DataFrame:
     """Each row once for every pair of blocks that its own block is in: columns i <= j."""
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -251,30 +284,29 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
     schema = pa.schema([("digest", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def group(i, j, own, digests, copies, sets):
+        """Block i's sets against the postings of block j (the same, if i = j)."""
         m = len(digests)
         sizes = np.array(list(map(len, sets)), dtype=np.int64)
-        flat = np.concatenate(sets)
-        _, term = np.unique(flat, return_inverse=True)
+        _, term = np.unique(np.concatenate(sets), return_inverse=True)
         doc = np.repeat(np.arange(m), sizes)
-        order = np.argsort(term, kind="stable")
-        postings, counts = doc[order], np.bincount(term)
-        begin = np.cumsum(counts) - counts
+        held = np.flatnonzero(own[doc] == j)
+        order = held[np.argsort(term[held], kind="stable")]
+        postings, counts = doc[order], np.bincount(term[held], minlength=int(term.max(initial=0)) + 1)
+        begin, ends = np.cumsum(counts) - counts, np.cumsum(sizes)
         near = np.zeros((m, m), dtype=bool)
-        at = 0
-        for x in range(m):
-            terms = term[at : at + sizes[x]]
-            at += sizes[x]
+        for x in np.flatnonzero(own == i):
+            terms = term[ends[x] - sizes[x] : ends[x]]
             lengths = counts[terms]
             total = int(lengths.sum())
-            if total == len(terms):
+            if total == (len(terms) if i == j else 0):
                 continue  # it shares nothing
             where = np.repeat(begin[terms] - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
             shared = np.bincount(postings[where], minlength=m)
-            near[x] = shared * (1 + threshold) >= threshold * (sizes + sizes[x]) - 1e-9
+            near[x] = (shared > 0) & (shared * (1 + threshold) >= threshold * (sizes + sizes[x]) - 1e-9)
             near[x, x] = False
-        root = forest(near)
-        counted = near if i == j else near & (own[:, None] != own[None, :])
-        links = counted @ copies
+        if i != j:
+            near |= near.T
+        root, links = forest(near), near @ copies
         some = np.flatnonzero(near.any(axis=1))
         return [digests[x] for x in some], links[some].tolist(), [digests[root[x]] for x in some]
 
@@ -320,18 +352,24 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
         scratch.drop(sizes)
         edges.append(scratch.keep(_candidates(live.filter(F.col("size") <= SMALL), ["bucket"], least)))
         large = live.filter(F.col("size") > SMALL)
+        if large.isEmpty():
+            scratch.drop(live)
+            break
+        around, large = _peeled(large, least, scratch)
+        edges.append(around)
+        scratch.drop(live)
         if depth == DEPTH:
             # compared as pairs of blocks of about SMALL sets
             blocks = F.ceil(F.col("size") / SMALL).cast("int")
             blocked = _paired_blocks(large, blocks, F.pmod(F.xxhash64("digest"), blocks).cast("int"))
             edges.append(scratch.keep(_candidates(blocked, ["bucket", "i", "j"], least)))
-        elif large.isEmpty():
-            break
-        buckets = _children(large)
+        else:
+            buckets = _children(large)
     found = edges[0]
     for e in edges[1:]:
         found = found.unionByName(e)
     parts = scratch.keep(components(found, scratch).select(F.col("node").alias("digest"), F.col("root").alias("comp")))
+    scratch.drop(*edges)
     members = scratch.keep(parts.join(sets.select("digest", "of", "copies", "n"), "digest"))
     bulk = scratch.keep(members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks")))
     wanted = scratch.keep(members.join(bulk, "comp").select("digest", "comp", "blocks", "copies", F.col("of.doc_id").alias("doc_id"), F.col("of.tkey").alias("tkey")))
@@ -339,6 +377,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     with_text = wanted.join(texts, (wanted.tkey == texts.tkey) & wanted.doc_id.eqNullSafe(texts._id)).select("digest", "comp", "blocks", "copies", "text").dropDuplicates(["digest"])
     blocked = _paired_blocks(with_text, F.col("blocks"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     checked = scratch.keep(_verified(blocked, threshold))
+    scratch.drop(wanted, members, bulk, parts)
     links = checked.groupBy("digest").agg(F.sum("links").alias("links"))
     joined = scratch.keep(components(checked.select(F.col("digest").alias("u"), F.col("root").alias("v")), scratch))
     roots = sets.select("digest", "rep_id", "copies").join(joined.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
