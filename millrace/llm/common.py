@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -54,8 +55,10 @@ class Scratch:
         for df in frames:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the cleaner of shuffle files works on what the first pass finds
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def text_of(col: str = "text"):

@@ -28,6 +28,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -36,7 +37,8 @@ from .common import Scratch, replaced, slices, table, text_of
 from .ngram_join import mixed
 
 WINDOW, GRAM, CHUNK = 100, 32, 1 << 16
-GROUP, COLLECTION, IN_MEMORY = 1000, 400_000, 256 << 20
+GROUP, COLLECTION, IN_MEMORY = 1000, 1 << 20, 256 << 20
+HELD = 200_000  # segments that a task remembers, so as not to send later copies of them
 
 _SEED = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -145,52 +147,36 @@ def equal_windows(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.cumsum(~same), segment, start
 
 
-def _intervals(windows: np.ndarray) -> list[tuple[int, int]]:
-    """Byte intervals that ascending window starts cover."""
-    cut = np.flatnonzero(np.diff(windows) > WINDOW)
-    return list(zip(windows[np.concatenate([[0], cut + 1])].tolist(), (windows[np.concatenate([cut, [len(windows) - 1]])] + WINDOW).tolist(), strict=True))
-
-
-def mark_collection(groups: list[list[tuple[int, int, bytes]]]) -> tuple[list[tuple[int, int, int]], list[list[tuple[int, int, bytes]]]]:
-    """For groups of (order number, first window, bytes): the marked byte intervals (order number, start, end), and each group's windows that
-    are the first of their kind in it, as (order number, first window, bytes of consecutive ones)."""
-    marks, firsts, segments, owner, of_group = [], [], [], [], []
-    for g, rows in enumerate(groups):
-        seen: dict[bytes, tuple[int, int]] = {}
-        for number, at, own in sorted(rows, key=lambda r: r[:2]):
-            if own in seen:
-                marks.append((number, at, at + len(own)))
-            else:
-                seen[own] = (number, at)
-        if len(seen) == 1:
-            firsts += [[(number, at, own)] for own, (number, at) in seen.items()]
-            continue
-        firsts.append([])
-        for own, place in seen.items():
-            segments.append(own)
-            owner.append(place)
-            of_group.append(g)
-    if segments:
-        kind, segment, start = equal_windows(segments)
-        number, at = (np.array(x, dtype=np.int64) for x in zip(*owner, strict=True))
-        groups_of = np.array(of_group)
-        # equal windows share their anchor, so they share their group, unless a repeated row of segments says otherwise
-        by = np.lexsort((at[segment] + start, number[segment], groups_of[segment], kind))
+def mark_collection(number: np.ndarray, at: np.ndarray, anchor: np.ndarray, own: list[bytes]) -> tuple[tuple, tuple]:
+    """For segments (text's order number, first window, anchor, bytes): the marked byte intervals (order number, start, stop), and the runs of windows
+    that are the first of their kind here (index of the segment, first window in it, last window in it)."""
+    order = np.lexsort((at, number))
+    own = [own[k] for k in order.tolist()]
+    number, at, anchor = number[order], at[order], anchor[order]
+    lengths = np.array(list(map(len, own)), dtype=np.int64)
+    seen: dict[bytes, int] = {}
+    copy = np.array([seen.setdefault(o, k) for k, o in enumerate(own)], dtype=np.int64) != np.arange(len(own))
+    marks = [(number[copy], at[copy], at[copy] + lengths[copy])]
+    distinct = np.flatnonzero(~copy)
+    _, group, members = np.unique(anchor[distinct], return_inverse=True, return_counts=True)
+    alone = distinct[members[group] == 1]
+    firsts = [(order[alone], np.zeros(len(alone), dtype=np.int64), lengths[alone] - WINDOW)]
+    several = distinct[members[group] > 1]
+    if len(several):
+        kind, segment, start = equal_windows([own[k] for k in several.tolist()])
+        segment = several[segment]
+        by = np.lexsort((at[segment] + start, number[segment], kind))
         kind, segment, start = kind[by], segment[by], start[by]
-        repeated = np.concatenate([[False], (kind[1:] == kind[:-1]) & (groups_of[segment][1:] == groups_of[segment][:-1])])
-        for flag in (True, False):
-            some = repeated == flag
-            by = np.lexsort((start[some], segment[some]))
-            s, t = segment[some][by], start[some][by]
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(s) != 0) | (np.diff(t) != 1)) + 1, [len(s)]]) if len(s) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                k, first, last = int(s[a]), int(t[a]), int(t[b - 1])
-                where = (int(number[k]), int(at[k]) + first)
-                if flag:
-                    marks.append((*where, where[1] + last - first + WINDOW))
-                else:
-                    firsts[of_group[k]].append((*where, segments[k][first : last + WINDOW]))
-    return marks, firsts
+        repeated = np.concatenate([[False], kind[1:] == kind[:-1]])
+        by = np.lexsort((start, segment))
+        repeated, segment, start = repeated[by], segment[by], start[by]
+        cuts = np.flatnonzero((np.diff(segment) != 0) | (np.diff(repeated.astype(np.int8)) != 0) | (np.diff(start) != 1)) + 1
+        head, tail = np.concatenate([[0], cuts]), np.concatenate([cuts - 1, [len(segment) - 1]])
+        late = repeated[head]
+        k = segment[head]
+        marks.append((number[k][late], (at[k] + start[head])[late], (at[k] + start[tail] + WINDOW)[late]))
+        firsts.append((order[k[~late]], start[head][~late], start[tail][~late]))
+    return tuple(np.concatenate(x) for x in zip(*marks, strict=True)), tuple(np.concatenate(x) for x in zip(*firsts, strict=True))
 
 
 def _ordered(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -230,19 +216,39 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return docs.select("_ord", text_of().alias("text")).mapInArrow(merged, "anchor long, _ord long, x int")
 
 
-_TEXTS = "_ord long, anchor long, part int, parts int, first int, own binary, text string"
+_TEXTS = "_ord long, anchor long, part int, parts int, first int, stop int, own binary, text string, size long, sha256 string"
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _segments(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Segments of the repeated anchors of each text (own set), and the text of each row (text set). places: _ord, found: array of (x, parts)."""
-    schema = pa.schema([("_ord", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("first", pa.int32()), ("own", pa.binary()), ("text", pa.string())])
+    """Four kinds of rows: segments of the repeated anchors of each text (own set); intervals that are marked already, as their segment came
+    before, as far as the task remembers (stop set); the texts that hold such anchors (text set), and size and digest of the others. places: _ord, found: array of (x, parts)."""
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[t]) for n, t in (c.split() for c in _TEXTS.split(", "))])
+
+    def rows(**columns):
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches):
+        seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             for part in slices(batch, 128):
-                rows = []
+                some = pc.is_valid(part.column(2))
+                yield rows(_ord=part.column(0).filter(some), text=part.column(1).filter(some))
+                rest = part.filter(pc.invert(some))
+                left = [t.as_buffer() for t in rest.column(1)]
+                yield rows(_ord=rest.column(0), size=[t.size for t in left], sha256=[hashlib.sha256(t).hexdigest() for t in left])
+                held, owns, marks = [], [], []
                 for number, text, found in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
-                    rows.append((number, None, None, None, None, None, text.as_py()))
                     if not found.is_valid:
                         continue
                     raw = np.frombuffer(text.as_buffer(), dtype=np.uint8)
@@ -252,16 +258,31 @@ def _segments(docs: DataFrame, places: DataFrame) -> DataFrame:
                     by = np.argsort(xs)
                     xs, parts = xs[by], parts[by]
                     salt = int(mixed(np.array([number], dtype=np.int64).astype(np.uint64))[0] >> np.uint64(33))
+                    again = []
+                    if len(seen) > HELD:
+                        seen.clear()
                     for h, x, first, last in anchor_runs(raw):
                         k = np.searchsorted(xs, x)
                         hit = np.flatnonzero((k < len(xs)) & (xs[np.minimum(k, len(xs) - 1)] == x))
-                        for i, p in zip(hit.tolist(), parts[k[hit]].tolist(), strict=True):
-                            rows.append((number, int(h[i].astype(np.int64)), (salt + int(x[i])) % p, p, int(first[i]), whole[first[i] : last[i] + WINDOW], None))
-                    if len(rows) > 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        new = []
+                        for i, a, b in zip(hit.tolist(), first[hit].tolist(), (last[hit] + WINDOW).tolist(), strict=True):
+                            own = whole[a:b]
+                            if seen.get(own, (number, a)) < (number, a):
+                                again.append((a, b))
+                            else:
+                                seen[own] = (number, a)
+                                owns.append(own)
+                                new.append(i)
+                        if new:
+                            p = parts[np.searchsorted(xs, x[new])]
+                            held.append((np.full(len(new), number), h[new].astype(np.int64), (salt + x[new]) % p, p, first[new]))
+                    marks += [(number, a, b) for a, b in _merged(again)]
+                if marks:
+                    number, a, b = zip(*marks, strict=True)
+                    yield rows(_ord=number, first=a, stop=b)
+                if held:
+                    number, anchor, which, p, first = (np.concatenate(c) for c in zip(*held, strict=True))
+                    yield rows(_ord=number, anchor=anchor, part=which.astype(np.int32), parts=p.astype(np.int32), first=first.astype(np.int32), own=owns)
 
     joined = docs.select("_ord", text_of().alias("text")).join(places, "_ord", "left").select("_ord", "text", "found")
     return joined.mapInArrow(run, _TEXTS)
@@ -274,34 +295,33 @@ def _marked(segments: DataFrame) -> DataFrame:
     """Marked intervals (window null), and for anchors in several groups each group's first windows (window: its hash)."""
     schema = pa.schema([("_ord", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("window", pa.binary())])
 
-    def run(batches):
-        groups, split, size, key = [], [], 0, None
-
-        def close():
-            marks, firsts = mark_collection(groups)
-            rows = [(*m, None) for m in marks]
-            for several, some in zip(split, firsts, strict=True):
-                if several:
-                    for number, at, own in some:
-                        rows += [(number, at + k, at + k + WINDOW, hashlib.blake2b(own[k : k + WINDOW], digest_size=16).digest()) for k in range(len(own) - WINDOW + 1)]
-            groups.clear()
-            split.clear()
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    def close(t: pa.Table):
+        number, anchor, parts, at = (t.column(n).to_numpy() for n in ("_ord", "anchor", "parts", "first"))
+        own = t.column("own").to_pylist()
+        (who, start, stop), (k, first, last) = mark_collection(number, at.astype(np.int64), anchor, own)
+        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.nulls(len(who), pa.binary())], schema=schema)
+        split = parts[k] > 1
+        rows = [(int(number[i]), int(at[i]) + w, int(at[i]) + w + WINDOW, hashlib.blake2b(own[i][w : w + WINDOW], digest_size=16).digest()) for i, a, b in zip(k[split].tolist(), first[split].tolist(), last[split].tolist(), strict=True) for w in range(a, b + 1)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+    def run(batches):
+        held = None
         for batch in batches:
-            for number, anchor, part, parts, first, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (anchor, part) != key:
-                    if size > COLLECTION:
-                        yield close()
-                        size = 0
-                    key = (anchor, part)
-                    groups.append([])
-                    split.append(parts > 1)
-                groups[-1].append((number, first, own))
-                size += len(own)
-        if groups:
-            yield close()
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            while held.nbytes > COLLECTION:
+                anchor, part = held.column("anchor").to_numpy(), held.column("part").to_numpy()
+                edges = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(part) != 0)) + 1  # a group stays whole
+                share = COLLECTION * len(anchor) // held.nbytes
+                edges = edges[edges >= min(share, edges[-1])] if len(edges) else edges
+                if not len(edges):
+                    break
+                n = int(edges[0])
+                yield from close(held.slice(0, n))
+                held = held.slice(n)
+        if held is not None and held.num_rows:
+            yield from close(held)
 
     dealt = segments.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     return dealt.mapInArrow(run, _MARKS)
@@ -313,7 +333,7 @@ def _covered(marks: DataFrame) -> DataFrame:
 
 
 def _texts_and_cover(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(_ord, text) of all rows and (_ord, cover) of those that lose bytes."""
+    """The rows of :func:`_segments`, and (_ord, cover) of those that lose bytes."""
     anchors = scratch.keep(_anchors(docs))
     again = scratch.keep(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")))
     hits = scratch.keep(anchors.join(again, "anchor").select("_ord", "x", "parts"))
@@ -323,12 +343,13 @@ def _texts_and_cover(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
     scratch.drop(hits)
     segments = both.filter("own IS NOT NULL").select("_ord", "anchor", "part", "parts", "first", "own")
     marked = scratch.keep(_marked(segments))
-    sure = marked.filter("window IS NULL").select("_ord", "start", "stop")
+    known = both.filter("stop IS NOT NULL").select("_ord", F.col("first").alias("start"), "stop")
+    sure = marked.filter("window IS NULL").select("_ord", "start", "stop").unionByName(known)
     open_ = marked.filter("window IS NOT NULL")
     first = scratch.keep(open_.groupBy("window").agg(F.min(F.struct("_ord", "start")).alias("place"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "place"))
     late = open_.join(first, "window").filter(F.struct("_ord", "start") > F.col("place")).select("_ord", "start", "stop")
     cover = _covered(sure.unionByName(late))
-    return both.filter("text IS NOT NULL").select("_ord", "text"), cover
+    return both, cover
 
 
 def cut(raw: bytes, cover: list[tuple[int, int]] | None) -> tuple[bytes, int]:
@@ -356,7 +377,9 @@ def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     rows = _ordered(docs.select("doc_id", "text"), scratch)
-    texts, cover = _texts_and_cover(rows, scratch)
+    both, cover = _texts_and_cover(rows, scratch)
+    texts = both.filter("text IS NOT NULL").select("_ord", "text")
+    whole = both.filter("sha256 IS NOT NULL").select("_ord", F.col("size").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
     schema = pa.schema([("_ord", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
@@ -369,7 +392,7 @@ def removed(docs: DataFrame) -> DataFrame:
                     out.append((number, len(raw), len(raw) - len(left), runs, hashlib.sha256(left).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    done = texts.join(cover, "_ord", "left").select("_ord", "text", "cover").mapInArrow(run, RESULT)
+    done = texts.join(cover, "_ord", "left").select("_ord", "text", "cover").mapInArrow(run, RESULT).unionByName(whole)
     if "_ord" in rows.columns and hasattr(rows, "_scratch"):  # ids were numbered
         return done.join(rows.select("_ord", "doc_id"), "_ord").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return done.select(F.col("_ord").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
