@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators import idpattern, layout, lines, names, records, rollup, scoring
 from millrace.sources import config
 from millrace.sources.scratch import Scratch
-from millrace.sources.words import sparse_pages
+from millrace.sources.words import SPARSE_WORDS, sparse_pages
 
 VERSION = "0.1.0"
 
@@ -32,6 +32,7 @@ class Parse:
     synonyms: dict | None = None
     aliases: dict | None = None
     weights: config.Weights = config.Weights()
+    min_words: int = SPARSE_WORDS
 
     @cached_property
     def keep(self):
@@ -145,7 +146,7 @@ class Parse:
     @cached_property
     def warnings(self):
         """doc_id, source_rank, page, code: from reading, layout and pattern discovery."""
-        sparse = sparse_pages(self.words, self.pages).select("doc_id", F.lit(0).alias("source_rank"), "page", F.lit("ocr_fallback_used").alias("code"))
+        sparse = sparse_pages(self.words, self.pages, self.min_words).select("doc_id", F.lit(0).alias("source_rank"), "page", F.lit("ocr_fallback_used").alias("code"))
         apart = layout.adjacency_warnings(self.bands).select("doc_id", F.lit(1).alias("source_rank"), "page", "code")
         unsure = self.patterns.filter("fallback").select("doc_id", F.lit(2).alias("source_rank"), F.lit(None).cast("int").alias("page"), F.lit("low_confidence_internal_pattern").alias("code"))
         return rollup.first_warnings(sparse.unionByName(apart).unionByName(unsure))
