@@ -47,12 +47,15 @@ class Automaton:
         self.target = [0] * len(symbols)  # state that each label's arcs lead to
         self.parent, self.lacks, self.born = [-1], [-1], [0]  # of each state
         known = {s: [k] for k, s in enumerate(symbols)}
+        made = set(symbols)
         for t, (a, b) in enumerate(merges, 1):
-            if a not in known or b not in known:
+            if a not in made or b not in made:
                 raise ValueError(f"merge {t} uses a token that no earlier merge makes")
-            for x in known[a]:
-                for y in known[b]:
-                    self._gadget(x, y, t, known)
+            made.add(a + b)
+            # a token that only merges without effect make has no label
+            for x in known.get(a, ()):
+                for y in known.get(b, ()):
+                    self._gadget(x, y, known)
         self._index()
         self.children: dict[int, int] = {}
         self.ends: dict[int, list[int]] = {}
@@ -70,7 +73,7 @@ class Automaton:
             self.ends.setdefault(node, []).append(v)
         self.clear()
 
-    def _gadget(self, a: int, b: int, t: int, known: dict[str, list[int]]) -> None:
+    def _gadget(self, a: int, b: int, known: dict[str, list[int]]) -> None:
         source = self.target[a]
         if not self.has_arc(source, b):
             return

@@ -2,63 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import time
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from millrace.sources.scratch import Scratch, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["Scratch", "map_texts", "replaced", "shared_dir", "slices", "table", "text_of"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: ``spark.checkpoint.dir``. Only where the session names none (tests, one machine) a temporary folder is made and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        context = spark.sparkContext._jsc.sc()
-        found = context.getCheckpointDir()
-        if found.isDefined():
-            at = found.get()
-        else:
-            at = "file://" + tempfile.mkdtemp(prefix="millrace-")
-            spark.conf.set("spark.checkpoint.dir", at)
-            spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation from the start.
-
-    ``keep(df)`` writes and rereads; ``drop()`` deletes a table that is no longer needed and lets Spark clean the shuffle files behind it.
-    """
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/millrace/{what}-{uuid.uuid4().hex}", 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.at}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        import gc
-
-        for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        for _ in range(2):  # the cleaner of shuffle files works on what the first pass finds
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.2)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(col: str = "text"):
