@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import time
 import uuid
@@ -18,8 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
         if found.isDefined():
             at = found.get()
         else:
-            at = "file://" + tempfile.mkdtemp(prefix="millrace-")
-            spark.conf.set("spark.checkpoint.dir", at)
+            own = tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            at = f"file://{own}"
             spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
