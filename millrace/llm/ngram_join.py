@@ -374,7 +374,8 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     bulk = scratch.keep(members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks")))
     wanted = scratch.keep(members.join(bulk, "comp").select("digest", "comp", "blocks", "copies", F.col("of.doc_id").alias("doc_id"), F.col("of.tkey").alias("tkey")))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.unhex(F.md5(F.encode(text_of(), "UTF-8"))).alias("tkey"), text_of().alias("text"))
-    with_text = wanted.join(texts, (wanted.tkey == texts.tkey) & wanted.doc_id.eqNullSafe(texts._id)).select("digest", "comp", "blocks", "copies", "text").dropDuplicates(["digest"])
+    # neither side has a bound, so none is broadcast, however small it looks
+    with_text = wanted.hint("merge").join(texts, (wanted.tkey == texts.tkey) & wanted.doc_id.eqNullSafe(texts._id)).select("digest", "comp", "blocks", "copies", "text").dropDuplicates(["digest"])
     blocked = _paired_blocks(with_text, F.col("blocks"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     checked = scratch.keep(_verified(blocked, threshold))
     scratch.drop(wanted, members, bulk, parts)
