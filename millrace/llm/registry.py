@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
-from . import bpe, counts, media, ngram_join, packing, pii, sharding, suffix_dedup, topk, toxicity
+from . import bpe, counts, media, ngram_join, packing, pii, pii_sql, sharding, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -14,4 +14,4 @@ QUERIES = {
     "op9_token_counts": counts.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
-ORACLE_SQL = {"op1_exact_top_k": topk.SQL}
+ORACLE_SQL = {"op1_exact_top_k": topk.SQL, "op7_pii_disclosure": pii_sql.SQL}

@@ -256,6 +256,20 @@ def test_disclosing_terms(spark):
     assert pii.redact(frame(spark, ODD)).filter("text IS NULL").count() == 1
 
 
+def test_pii_sql(spark):
+    import duckdb
+
+    from millrace.llm.pii_sql import SQL
+
+    texts = [f"ask Zebulon at zeb@corp.example today about case {'abcdefgh'[i]}ello" for i in range(4)] + [f"about today and {'abcdefgh'[i % 8]}ello case ask" for i in range(60)] + ODD + ["4111 1111 1111 1111 and 1.2.3.4.5 é +1 (988) 555-2485"]
+    texts += [r.text for r in documents(spark).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = pii.find_pii(frame(spark, texts)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(SQL).fetchall())
+
+
 def test_pii_runs_no_python(spark):
     plan = pii.find_pii(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
