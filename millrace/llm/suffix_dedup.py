@@ -80,18 +80,16 @@ class _Columns:
         self.dir = tempfile.TemporaryDirectory(prefix="columns-") if on_disk else None
         self.turn, self.held = 0, None
 
-    def put(self, bwt: np.ndarray, suffix: np.ndarray) -> None:
+    def put(self, rows: np.ndarray) -> None:
         if self.dir is None:
-            self.held = (bwt, suffix)
+            self.held = rows
             return
         self.turn ^= 1
-        for name, x in (("bwt", bwt), ("suffix", suffix)):
-            x.tofile(os.path.join(self.dir.name, f"{name}{self.turn}"))
+        self.kind = rows.dtype
+        rows.tofile(os.path.join(self.dir.name, str(self.turn)))
 
-    def get(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.dir is None:
-            return self.held
-        return tuple(np.fromfile(os.path.join(self.dir.name, f"{name}{self.turn}"), dtype=kind) for name, kind in (("bwt", np.uint8), ("suffix", np.uint32)))
+    def get(self) -> np.ndarray:
+        return self.held if self.dir is None else np.fromfile(os.path.join(self.dir.name, str(self.turn)), dtype=self.kind)
 
     def close(self) -> None:
         if self.dir is not None:
@@ -105,28 +103,34 @@ def suffix_order(segments: list[bytes], on_disk: bool = False) -> np.ndarray:
     text = np.full((m, int(lengths.max(initial=0)) + 1), 0xFF, dtype=np.uint8)  # 0xFF stands before the first symbol
     for i, s in enumerate(segments):
         text[i, 1 : len(s) + 1] = np.frombuffer(s, dtype=np.uint8)
+    # a row holds a suffix's number above, and the symbol before it (the transform) in its lowest byte
+    kind = np.dtype("<u4") if m <= 1 << 16 else np.dtype("<u8")
     columns = _Columns(on_disk)
+
+    def rows(which, start):
+        return ((which * 256 + start) << 8 | text[which, start]).astype(kind)
+
     try:
         place, start = np.arange(m), lengths.copy()
-        bwt, suffix = text[np.arange(m), start], (np.arange(m) * 256 + start).astype(np.uint32)
-        columns.put(bwt, suffix)
+        columns.put(rows(place, start))
         active = np.flatnonzero(start > 0)
         while len(active):
-            bwt, suffix = columns.get()
-            order = np.argsort(bwt, kind="stable")
-            rank = np.empty(len(bwt), dtype=np.int32)
-            rank[order] = np.arange(len(bwt), dtype=np.int32)
+            held = columns.get()
+            n = len(held)
+            order = np.argsort(np.ascontiguousarray(held.view(np.uint8)[:: kind.itemsize]), kind="stable")
+            rank = np.empty(n, dtype=np.int32)
+            rank[order] = np.arange(n, dtype=np.int32)
             new = m + rank[place[active]].astype(np.int64)
             start[active] -= 1
-            old = np.ones(len(bwt) + len(active), dtype=bool)
+            old = np.ones(n + len(active), dtype=bool)
             old[new] = False
-            merged, numbers = np.empty(len(old), dtype=np.uint8), np.empty(len(old), dtype=np.uint32)
-            merged[old], numbers[old] = bwt, suffix
-            merged[new], numbers[new] = text[active, start[active]], (active * 256 + start[active]).astype(np.uint32)
+            merged = np.empty(n + len(active), dtype=kind)
+            merged[old] = held
+            merged[new] = rows(active, start[active])
             place[active] = new
-            columns.put(merged, numbers)
+            columns.put(merged)
             active = active[start[active] > 0]
-        return columns.get()[1]
+        return columns.get() >> 8
     finally:
         columns.close()
 
@@ -135,7 +139,7 @@ def equal_windows(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     """(class, segment, start) of each window of the segments, classes ascending: windows of one class are equal."""
     order = suffix_order(segments, sum(map(len, segments)) * 5 > IN_MEMORY)
     lengths = np.array(list(map(len, segments)), dtype=np.int64)
-    segment, start = (order >> np.uint32(8)).astype(np.int64), (order & np.uint32(255)).astype(np.int64)
+    segment, start = (order >> 8).astype(np.int64), (order & 255).astype(np.int64)
     keep = start + WINDOW <= lengths[segment]
     segment, start = segment[keep], start[keep]
     flat = np.frombuffer(b"".join(segments), dtype=np.uint8)
@@ -190,7 +194,8 @@ def _ordered(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("anchor", pa.int64()), ("_ord", pa.int64()), ("x", pa.int32())])
+    """anchor, _ord, n: the distinct anchors of each text and how often it has them."""
+    schema = pa.schema([("anchor", pa.int64()), ("_ord", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -199,8 +204,8 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 for k in range(part.num_rows):
                     raw = np.frombuffer(texts[k].as_buffer(), dtype=np.uint8)
                     if len(raw) >= WINDOW:
-                        for h, x, _, _ in anchor_runs(raw):
-                            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.full(len(h), numbers[k])), pa.array(x.astype(np.int32))], schema=schema)
+                        h, n = np.unique(np.concatenate([run[0] for run in anchor_runs(raw)]), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.full(len(h), numbers[k])), pa.array(n.astype(np.int32))], schema=schema)
 
     def merged(batches):
         held, rows = [], 0
@@ -213,7 +218,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return docs.select("_ord", text_of().alias("text")).mapInArrow(merged, "anchor long, _ord long, x int")
+    return docs.select("_ord", text_of().alias("text")).mapInArrow(merged, "anchor long, _ord long, n int")
 
 
 _TEXTS = "_ord long, anchor long, part int, parts int, first int, stop int, own binary, text string, size long, sha256 string"
@@ -231,7 +236,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _segments(docs: DataFrame, places: DataFrame) -> DataFrame:
     """Four kinds of rows: segments of the repeated anchors of each text (own set); intervals that are marked already, as their segment came
-    before, as far as the task remembers (stop set); the texts that hold such anchors (text set), and size and digest of the others. places: _ord, found: array of (x, parts)."""
+    before, as far as the task remembers (stop set); the texts that hold such anchors (text set), and size and digest of the others. places: _ord, found: array of (anchor, parts)."""
     schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[t]) for n, t in (c.split() for c in _TEXTS.split(", "))])
 
     def rows(**columns):
@@ -254,16 +259,17 @@ def _segments(docs: DataFrame, places: DataFrame) -> DataFrame:
                     raw = np.frombuffer(text.as_buffer(), dtype=np.uint8)
                     whole = raw.tobytes()
                     wanted = found.values
-                    xs, parts = wanted.field(0).to_numpy(), wanted.field(1).to_numpy()
-                    by = np.argsort(xs)
-                    xs, parts = xs[by], parts[by]
+                    known, parts = wanted.field(0).to_numpy(), wanted.field(1).to_numpy()
+                    by = np.argsort(known)
+                    known, parts = known[by], parts[by]
                     salt = int(mixed(np.array([number], dtype=np.int64).astype(np.uint64))[0] >> np.uint64(33))
                     again = []
                     if len(seen) > HELD:
                         seen.clear()
                     for h, x, first, last in anchor_runs(raw):
-                        k = np.searchsorted(xs, x)
-                        hit = np.flatnonzero((k < len(xs)) & (xs[np.minimum(k, len(xs) - 1)] == x))
+                        h = h.astype(np.int64)
+                        k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        hit = np.flatnonzero(known[k] == h)
                         new = []
                         for i, a, b in zip(hit.tolist(), first[hit].tolist(), (last[hit] + WINDOW).tolist(), strict=True):
                             own = whole[a:b]
@@ -274,8 +280,8 @@ def _segments(docs: DataFrame, places: DataFrame) -> DataFrame:
                                 owns.append(own)
                                 new.append(i)
                         if new:
-                            p = parts[np.searchsorted(xs, x[new])]
-                            held.append((np.full(len(new), number), h[new].astype(np.int64), (salt + x[new]) % p, p, first[new]))
+                            p = parts[k[new]]
+                            held.append((np.full(len(new), number), h[new], (salt + x[new]) % p, p, first[new]))
                     marks += [(number, a, b) for a, b in _merged(again)]
                 if marks:
                     number, a, b = zip(*marks, strict=True)
@@ -335,10 +341,10 @@ def _covered(marks: DataFrame) -> DataFrame:
 def _texts_and_cover(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The rows of :func:`_segments`, and (_ord, cover) of those that lose bytes."""
     anchors = scratch.keep(_anchors(docs))
-    again = scratch.keep(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")))
-    hits = scratch.keep(anchors.join(again, "anchor").select("_ord", "x", "parts"))
+    again = scratch.keep(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")))
+    hits = scratch.keep(anchors.join(again, "anchor").select("_ord", "anchor", "parts"))
     scratch.drop(anchors, again)
-    places = hits.groupBy("_ord").agg(F.collect_list(F.struct("x", "parts")).alias("found"))
+    places = hits.groupBy("_ord").agg(F.collect_list(F.struct("anchor", "parts")).alias("found"))
     both = scratch.keep(_segments(docs, places))
     scratch.drop(hits)
     segments = both.filter("own IS NOT NULL").select("_ord", "anchor", "part", "parts", "first", "own")
