@@ -348,7 +348,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     buckets, edges = _roots(sets.filter("n > 0"), runs_needed(threshold, recall)), []
     for depth in range(1, DEPTH + 1):
         sizes = scratch.keep(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        live = scratch.keep(buckets.join(sizes, "bucket"))
+        live = scratch.keep(buckets.join(sizes.hint("merge"), "bucket"))
         scratch.drop(sizes)
         edges.append(scratch.keep(_candidates(live.filter(F.col("size") <= SMALL), ["bucket"], least)))
         large = live.filter(F.col("size") > SMALL)
