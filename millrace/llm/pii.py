@@ -3,17 +3,16 @@
 Base kinds are found leftmost and non-overlapping by regular expressions whose quantifiers are possessive and which start only at the
 edge of a run (or where the last match ended), so that any text is scanned in linear time. Offsets count code points.
 
-Disclosure. For an entity e (a base value, case folded) and a term t (letters, at least MIN_TERM) within CONTEXT code points of it,
+Disclosure. For an entity e (a base value, case folded) and a term t (letters, at least MIN_TERM) in the same text, at any distance,
 
     IC(e) = log2(N / n(e)),    PMI(t; e) = log2(N n(t, e) / (n(t) n(e)))
 
-with n counting documents of the whole corpus. A term seen beside e in at least ``support`` different texts is *generalised*
-where PMI >= ``generalise`` * IC and *removed* where PMI >= ``remove`` * IC; it becomes a span of kind ``term``. All statistics come
-from all documents; nothing is capped.
+with n counting documents of the whole corpus. A term that at least ``support`` different texts hold with e is *generalised*
+where PMI >= ``generalise`` * IC and *removed* where PMI >= ``remove`` * IC (for any e). Every occurrence of such a term, in texts with
+and without e, becomes a span of kind ``term``, unless it overlaps a base span. All statistics come from all documents; nothing is capped.
 
-Copies of a text are counted by their number but handled once. Only texts with an entity are joined; rows without one
-need no disclosed terms. Null texts count as empty; empty texts have no spans; null or repeated ids keep their rows; an empty table gives no
-rows; further columns do not matter to :func:`find_pii` and are passed through by :func:`redact`.
+Copies of a text are counted by their number but handled once. Null texts count as empty; empty texts have no spans; null or repeated ids
+keep their rows; an empty table gives no rows; further columns do not matter to :func:`find_pii` and are passed through by :func:`redact`.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-CONTEXT, MIN_TERM = 60, 3
+MIN_TERM = 3
 WORD = rf"\p{{L}}{{{MIN_TERM},}}"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -48,10 +47,10 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def positions(text: Column, pattern: str) -> Column:
+def positions(text: Column, pattern: str | Column) -> Column:
     """Spans of all matches: the gaps between them and the matches themselves, summed up."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    gaps = F.split(text, F.lit(pattern), -1)
     parts = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
 
     def step(acc, x):
@@ -71,75 +70,106 @@ def _joined(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat(F.lit(f"{kind}:"), x["start"], F.lit(":"), x["end"]))
 
 
-def _nearby(text: Column, all_spans: Column) -> Column:
-    """For each span the terms around it, with their offsets: array<struct<entity, term, start, end>>."""
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
-    def shifted(begin, x):
-        return lambda w: F.struct(F.lower(x["value"]).alias("entity"), F.lower(w["value"]).alias("term"), (begin + w["start"]).alias("start"), (begin + w["end"]).alias("end"))
 
-    def around(x):
-        low = F.greatest(F.lit(0), x["start"] - CONTEXT)
-        sides = []
-        for begin, width in ((low, x["start"] - low), (x["end"], F.lit(CONTEXT))):
-            words = positions(F.substring(text, begin + 1, width), WORD)
-            # a word cut by the edge of the context is no term
-            cut = F.transform(words, shifted(begin, x))
-            sides.append(F.filter(cut, lambda w: ~F.substring(text, w["end"] + 1, F.lit(1)).rlike(r"\p{L}") & ~((w["start"] > 0) & F.substring(text, F.greatest(F.lit(1), w["start"]), F.lit(1)).rlike(r"\p{L}"))))
-        return F.concat(*sides)
+def _held(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, also where lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]
 
-    clear = lambda w: ~F.exists(all_spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    return F.filter(F.flatten(F.transform(all_spans, around)), clear)
+
+def _clear_terms(text: Column, spans: Column) -> Column:
+    """The distinct terms of a text with an occurrence that overlaps no span: those of the pieces between the spans."""
+    letter = lambda at: F.substring(text, at + 1, F.lit(1)).rlike(r"^\p{L}")
+
+    def piece(ordered, k):
+        begin = F.when(k == 0, 0).otherwise(F.array_max(F.transform(F.slice(ordered, 1, k), lambda x: x["end"])))
+        end = F.when(k == F.size(ordered), F.length(text)).otherwise(F.get(ordered, k)["start"])
+        part = F.substring(text, begin + 1, F.greatest(F.lit(0), end - begin))
+        # a word that goes on inside a span is no term of the piece
+        part = F.when((begin > 0) & letter(F.greatest(F.lit(0), begin - 1)), F.regexp_replace(part, r"^\p{L}+", "")).otherwise(part)
+        return F.when(letter(end), F.regexp_replace(part, r"(?<!\p{L})\p{L}++$", "")).otherwise(part)
+
+    pieces = _held(F.array_sort(spans), lambda ordered: F.transform(F.sequence(F.lit(0), F.size(ordered)), lambda k: _words(piece(ordered, k))))
+    return F.array_distinct(F.flatten(pieces))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """term, n_t: documents of the corpus that hold the term."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(WORD), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return docs.select(F.explode(_words(text_of())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
-def disclosed(docs: DataFrame, hits: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
-    """digest, terms: array<struct<start, end, action>>, for texts that hold such terms. hits: digest, nearby, copies."""
-    near = hits.select("digest", "copies", F.explode("nearby").alias("x")).select("digest", "copies", "x.*")
-    once = near.select("digest", "copies", "entity", "term").distinct()
-    pairs = once.groupBy("term", "entity").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    n_e = hits.select("copies", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"))
+def disclosing(docs: DataFrame, hits: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
+    """term, action for the terms that disclose an entity. hits: digest, entities, terms, copies of each text with an entity."""
+    held = hits.select("digest", "copies", F.explode("entities").alias("entity"))
+    n_e = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    # entities of fewer texts can have no pair with enough of them
+    shared = held.join(n_e.filter(F.col("texts") >= support).select("entity"), "entity").groupBy("digest").agg(F.collect_list("entity").alias("shared"))
+    both = hits.join(shared, "digest").select("copies", "shared", F.explode("terms").alias("term")).select("copies", "term", F.explode("shared").alias("entity"))
+    pairs = both.groupBy("term", "entity").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts")
     n = F.lit(float(docs.count()))
     ic = F.log2(n / F.col("n_e"))
     pmi = F.log2(n * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
-    scored = pairs.join(n_e, "entity").join(term_counts(docs), "term").withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(0.0))
-    flagged = scored.filter(F.col("ratio") >= generalise - 1e-9).select("term", "entity", F.when(F.col("ratio") >= remove - 1e-9, "removed").otherwise("generalised").alias("action"))
-    spans = near.join(flagged, ["term", "entity"]).groupBy("digest", "start", "end").agg(F.max("action").alias("action"))
-    return spans.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    scored = pairs.join(n_e.select("entity", "n_e"), "entity").join(term_counts(docs), "term").withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(0.0))
+    action = F.when(F.max("ratio") >= remove - 1e-9, "removed").otherwise("generalised")
+    return scored.filter(F.col("ratio") >= generalise - 1e-9).groupBy("term").agg(action.alias("action"))
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(F.encode(text_of(), "UTF-8")))
+
+
+TERMS = "array<struct<start:int,end:int,action:string>>"
+
+
+def term_spans(text: Column, spans: Column, flagged: Column) -> Column:
+    """Where flagged terms (map of term to action) stand clear of the base spans: array<struct<start, end, action>>."""
+    # the words of this text that are such terms, as they are written; letters need no quotes in a pattern
+    forms = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda w: F.element_at(flagged, F.lower(w)).isNotNull())
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
+    both = F.struct(spans.alias("spans"), _held(pattern, lambda p: positions(text, p)).alias("found"))
+    clear = _held(both, lambda x: F.filter(x["found"], lambda w: ~F.exists(x["spans"], lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))))
+    return F.transform(clear, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at(flagged, F.lower(w["value"])).alias("action")))
 
 
 def _found(docs: DataFrame) -> DataFrame:
     """docs with a digest of the text and the base spans of each kind."""
     text = text_of()
-    out = docs.withColumn("_digest", F.unhex(F.md5(F.encode(text, "UTF-8"))))
-    return out.withColumns({f"_{k}": base_spans(text, k) for k in KINDS})
+    return docs.withColumn("_digest", _digest()).withColumns({f"_{k}": base_spans(text, k) for k in KINDS})
 
 
 def _spans_of() -> Column:
     return F.concat(*(F.col(f"_{k}") for k in KINDS))
 
 
-def _disclosed_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise: float, remove: float, support: int) -> DataFrame:
+def _flagged_texts(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise: float, remove: float, support: int) -> DataFrame:
+    """_digest, flagged (map of term to action) for all texts that hold a disclosing term."""
     some = found.select("_digest", "text", _spans_of().alias("spans")).filter(F.size("spans") > 0)
-    hits = some.select(F.col("_digest").alias("digest"), "spans", _nearby(text_of(), F.col("spans")).alias("nearby"))
-    hits = scratch.keep(hits.groupBy("digest").agg(F.first("spans").alias("spans"), F.first("nearby").alias("nearby"), F.count(F.lit(1)).alias("copies")))
-    return scratch.keep(disclosed(docs, hits, generalise, remove, support).select(F.col("digest").alias("_digest"), "terms"))
+    entities = F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))
+    hits = some.select(F.col("_digest").alias("digest"), entities.alias("entities"), _clear_terms(text_of(), F.col("spans")).alias("terms"))
+    hits = scratch.keep(hits.groupBy("digest").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("copies")))
+    terms = scratch.keep(disclosing(docs, hits, generalise, remove, support))
+    words = docs.select(_digest().alias("_digest"), F.explode(_words(text_of())).alias("term"))
+    held = words.join(terms, "term").select("_digest", "term", "action").distinct()
+    return scratch.keep(held.groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("flagged")))
 
 
 def find_pii(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
     """A row for each row of docs (doc_id, text): counts of the base kinds, the digest of the base spans, and all spans."""
     scratch = Scratch(docs.sparkSession, "pii")
-    found = _found(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
+    found = _found(docs)
     base = F.concat(*(_joined(k, F.col(f"_{k}")) for k in KINDS))
     rows = scratch.keep(found.select("doc_id", "_digest", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), base.alias("_base")))
-    terms = _disclosed_terms(docs, found, scratch, generalise, remove, support)
-    some = F.size("_base") > 0
-    both = rows.filter(some).join(terms, "_digest", "left").unionByName(rows.filter(~some), allowMissingColumns=True)
+    flagged = _flagged_texts(docs, found, scratch, generalise, remove, support)
+    # one row a text before the join, so that copies don't meet there
+    texts = flagged.join(docs.select(_digest().alias("_digest"), text_of().alias("text")).dropDuplicates(["_digest"]), "_digest")
+    spans = F.concat(*(base_spans(F.col("text"), k) for k in KINDS))
+    terms = scratch.keep(texts.select("_digest", term_spans(F.col("text"), spans, F.col("flagged")).alias("terms")))
     more = F.coalesce(_joined("term", F.col("terms")), F.array().cast("array<string>"))
+    both = rows.join(terms, "_digest", "left")
     return both.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.array_join("_base", ","), 256).alias("base_sha256"), F.array_join(F.concat("_base", more), ",").alias("spans"))
 
 
@@ -147,30 +177,31 @@ def redact(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, suppo
     """docs with each text's spans replaced by its kind in brackets; removed terms leave ``[REMOVED]``, generalised ones ``[TERM]``.
 
     Overlapping spans are replaced from left to right; a span that begins inside one already replaced is dropped with it.
-    Texts without an entity come back as they are, null ones as null.
+    Texts without a span come back as they are, null ones as null.
     """
     scratch = Scratch(docs.sparkSession, "redact")
     # the input's columns travel in one struct, so that no name of theirs can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").cast("string").alias("text"))
-    found = _found(rows)
-    terms = _disclosed_terms(rows, found, scratch, generalise, remove, support)
-    spans = _spans_of()
-    clean = found.filter(F.size(spans) == 0).select("_row.*")
+    flagged = _flagged_texts(rows, _found(rows), scratch, generalise, remove, support)
+    # base spans are found before the join, which carries them
+    found = _found(rows).join(flagged, "_digest", "left")
+    terms = F.when(F.col("flagged").isNotNull(), term_spans(text_of(), _spans_of(), F.col("flagged"))).otherwise(F.array().cast(TERMS))
 
     def tag(kind):
         return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("by"))
 
     tagged = [F.transform(F.col(f"_{k}"), tag(k)) for k in KINDS]
-    more = F.transform(F.coalesce(F.col("terms"), F.array().cast("array<struct<start:int,end:int,action:string>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "removed", "[REMOVED]").otherwise("[TERM]").alias("by")))
+    more = F.transform(terms, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "removed", "[REMOVED]").otherwise("[TERM]").alias("by")))
 
     def step(acc, x):
         piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), x["by"])
         return F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.aggregate(F.array_sort(F.concat(*tagged, more)), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    changed = found.filter(F.size(spans) > 0).join(terms, "_digest", "left").select("_row", text.alias("_text"))
-    return clean.unionByName(changed.select(*replaced(docs, F.col("_text"))))
+    found = found.select("_row", "text", F.array_sort(F.concat(*tagged, more)).alias("_spans"))
+    text = F.aggregate(F.col("_spans"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    touched = F.size("_spans") > 0
+    return found.select(*(F.when(touched, new).otherwise(F.col("_row")[c]).alias(c) for c, new in zip(docs.columns, replaced(docs, text), strict=True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -256,6 +256,30 @@ def test_disclosing_terms(spark):
     assert pii.redact(frame(spark, ODD)).filter("text IS NULL").count() == 1
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    filler = "lorem ipsum dolor sit amet " * 8
+    texts = [f"Zebulon {filler}zeb@corp.example {filler}{'abcd'[i]}ello and zebulon" for i in range(4)] + [f"plain {filler}{'abcd'[i % 4]}ello and" for i in range(60)]
+    texts += ["Zebulon stands here alone", None, "zebulonX, xZEBULON or zebulon@other.example"]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.spans.split(",") for r in pii.find_pii(docs).collect()}
+    out = {r.doc_id: r for r in pii.redact(docs).collect()}
+    for i in range(4):
+        # generalised: two of six texts with the name lack the address. It stands 200 characters from the address, and again behind it
+        assert [s for s in got[i] if s.startswith("term")] == ["term:0:7", f"term:{len(texts[i]) - 7}:{len(texts[i])}"]
+        assert out[i].text == f"[TERM] {filler}[EMAIL] {filler}{'abcd'[i]}ello and [TERM]"
+    assert got[64] == ["term:0:7"] and out[64].text == "[TERM] stands here alone" and out[65].text is None
+    # longer words, and a mention inside a base span, aren't occurrences of the term
+    assert got[66] == ["email:22:43"] and out[66].text == "zebulonX, xZEBULON or [EMAIL]" and out[10].text == texts[10]
+
+
+def test_terms_clear_of_spans(spark):
+    text = "one.two Éab@corp.exampleé three ab@corp.example four,+1 (988) 555-2485five two"
+    df = spark.createDataFrame([(text,)], "text string")
+    spans = F.concat(*(pii.base_spans(F.col("text"), k) for k in pii.KINDS))
+    (got,) = df.select(pii._clear_terms(F.col("text"), spans)).first()
+    assert sorted(got) == ["five", "four", "one", "three", "two"]
+
+
 def test_pii_sql(spark):
     import duckdb
 
