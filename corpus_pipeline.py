@@ -3,7 +3,7 @@
 Each stage works on all rows its predecessor kept, read again from Parquet, and its decisions take effect. All but the last return the columns of documents:
 
 * toxicity: rows predicted toxic go;
-* ngram_join: of each class of near copies the row with the least doc_id stays;
+* ngram_join: of each class of near copies the row with the least doc_id stays (null ids last, then the least text digest);
 * suffix_dedup: byte strings that also start earlier are cut out of the texts; rows of which nothing is left go;
 * pii: personal data and terms that disclose it are replaced;
 * packing: what is left becomes pieces of fixed sequences.
@@ -28,13 +28,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Texts without words stay, one of each: they are copies of each other."""
     scratch = Scratch(spark, "near")
     linked = ngram_join.linked(docs, scratch=scratch)
-    keep = scratch.keep(linked.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "tkey").groupBy("doc_id").agg(F.min("tkey").alias("tkey")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("of")
+    keep = scratch.keep(linked.groupBy("root").agg(first).select(F.col("of.doc_id").alias("doc_id"), F.col("of.tkey").alias("tkey")))
     # the input's columns travel in one struct, so that no name of theirs can clash
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_of"), F.unhex(F.md5(F.encode(text_of(), "UTF-8"))).alias("_tkey"))
     joined = keyed.join(keep, F.col("_of").eqNullSafe(F.col("doc_id")) & (F.col("_tkey") == F.col("tkey")), "leftsemi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    # only a table that repeats an id can hold two rows here
-    return (joined.dropDuplicates(["_of"]) if repeated else joined).select("_row.*")
+    # only a table that repeats an id can hold two rows of one text and id here
+    return (joined.dropDuplicates(["_of", "_tkey"]) if repeated else joined).select("_row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -335,10 +335,10 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, class_id, n_links, rep_id and tkey (digest of the text) for each row of docs (doc_id, text).
+    """doc_id, class_id, n_links, rep_id, tkey (digest of the text) and root for each row of docs (doc_id, text).
 
     class_id: least doc_id of all documents that links connect; n_links: other documents at or above the threshold, copies included;
-    rep_id: least doc_id with the same set.
+    rep_id: least doc_id with the same set; root: digest of a set of the class, which tells classes apart even where ids are null or repeated.
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngrams")
     rows = scratch.keep(_set_rows(docs))
@@ -384,8 +384,8 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     roots = sets.select("digest", "rep_id", "copies").join(joined.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = scratch.keep(roots)
     ids = scratch.keep(classes.groupBy("root").agg(F.min("rep_id").alias("class_id")))
-    table_ = scratch.keep(classes.join(ids, "root").select("digest", "rep_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return rows.select("doc_id", "tkey", "digest").join(table_, "digest").select("doc_id", "class_id", "n_links", "rep_id", "tkey")
+    table_ = scratch.keep(classes.join(ids, "root").select("digest", "rep_id", "class_id", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    return rows.select("doc_id", "tkey", "digest").join(table_, "digest").select("doc_id", "class_id", "n_links", "rep_id", "tkey", "root")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

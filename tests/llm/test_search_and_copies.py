@@ -220,6 +220,14 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+def test_one_row_of_each_class_whatever_its_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "u v w x y z"), (None, "u v w x y  z"), (None, "u v w x y z"), (3, "g h i j k l"), (3, "m n o p q r"), (3, "m n o p q r"), (None, "m n o p q r"), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text and " ".join(r.text.split())) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    want = [(None, "a b c d e f"), (None, "u v w x y z"), (3, "g h i j k l"), (3, "m n o p q r"), (4, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_on_odd_tables(spark, name, stage):
     columns = "doc_id long, text string, lang string, source string, n_chars long, cover string, rank int, _digest string"
