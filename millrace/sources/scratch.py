@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,30 +26,41 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Spark drops the shuffle files of a plan when its action ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation from the start.
 
-    ``keep(df)`` writes and rereads; ``drop()`` deletes a table that is no longer needed and lets Spark clean the shuffle files behind it.
+    ``keep(df)`` writes and rereads; the shuffle files behind a table go as soon as it is written. ``drop()`` deletes tables whose last
+    reader is done; all others are deleted when the application ends.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/millrace/{what}-{uuid.uuid4().hex}", 0
+        path, fs = self._files(self.at)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _files(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        import gc
-
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        for _ in range(2):  # the cleaner of shuffle files works on what the first pass finds
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.2)
+            path, fs = self._files(df._scratch)
+            fs.delete(path, True)
