@@ -6,13 +6,15 @@ each pair of a candidate block and a query block, a query's terms scatter their
 the block, the k best are selected by partition, and the selections are merged: in the task over the blocks it meets, then
 over all by a window whose input Spark cuts to k rows a query before the shuffle.
 
-Only the stated query set is paired with all rows, block by block; the smaller side (queries) is dealt to the blocks of the
-larger by an equi-join on a block number, so nothing is broadcast and no rows are paired in the plan.
+Only the stated query set is paired with all rows, block by block. The pairs of blocks form a grid: candidate blocks are dealt to rows of
+cells by a hash of their first id and meet each query block in one cell, and queries go to all cells of their column, by an equi-join on the
+cell. A cell holds about ``CELL`` candidate blocks and one query block, whatever the table's size, and each cell is a key of its own, so
+the search spreads over as many tasks as there are cells. Nothing is broadcast.
 
 Scores are 64-bit integers. Components are clipped to 64 bits and sums are taken modulo 2^64, which finite 32-bit
 components of usual size never reach. Null or non-finite vectors take no part, nor do rows with a null id. Of several rows
 with one id the least vector is the query; as candidates all count, except under the query's own id. Vectors of unlike length are
-compared over the terms they share. An empty table gives no rows.
+compared over the terms they share. An empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-BLOCK, QUERY_BLOCK = 16384, 2048
+BLOCK, QUERY_BLOCK, CELL = 4096, 4096, 1
+MAX_TASKS = 4096  # partitions of the grid; beyond that a task works on several cells
 PACKED = "ids binary, weights binary, dims int, part int"
 
 
@@ -110,11 +113,21 @@ def exact_top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, every: i
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), vec.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & finite)
     asked = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
     scratch = Scratch(spark, "topk")
-    n = asked.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("asked")).first()
+    parts = max(1, -(-size.asked // QUERY_BLOCK))
+    bands = max(1, -(-size.n // (CELL * BLOCK)))
+    tasks = min(MAX_TASKS, parts * bands)
     queries = scratch.keep(_packed(asked, QUERY_BLOCK, parts, scale))
-    blocks = _packed(rows, BLOCK, 1, scale).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = blocks.alias("c").join(queries.alias("q").hint("merge"), F.col("c.part") == F.col("q.part")).select("c.ids", "c.weights", "c.dims", F.col("q.ids").alias("q_ids"), F.col("q.weights").alias("q_weights"), F.col("q.dims").alias("q_dims"))
+    blocks = scratch.keep(_packed(rows, BLOCK, 1, scale))
+
+    def dealt(side, band, part):
+        """``side`` by cell, in a stated number of partitions, so that cells of few bytes and much work aren't joined together."""
+        return side.withColumn("cell", (band * parts + part).cast("long")).repartition(tasks, "cell")
+
+    band = F.pmod(F.xxhash64("ids"), F.lit(bands))
+    c = dealt(blocks.withColumn("band", band).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), F.col("band"), F.col("part"))
+    q = dealt(queries.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))), F.col("band"), F.col("part"))
+    pairs = c.alias("c").join(q.alias("q").hint("merge"), F.col("c.cell") == F.col("q.cell")).select("c.ids", "c.weights", "c.dims", F.col("q.ids").alias("q_ids"), F.col("q.weights").alias("q_weights"), F.col("q.dims").alias("q_dims"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
