@@ -3,7 +3,7 @@
 The LZW decoder is array code. After a clear code the width of the i-th code follows from i alone, so all codes of a segment
 are cut out at once. The string of a dictionary code is a slice of the segment's own output (that of the earlier code j and
 one byte more), so lengths and bytes are found by pointer jumping, in a number of rounds logarithmic in the chain length.
-Frames hold at most ``FRAME_ROWS`` rows, which bounds the working memory for any text.
+Frames of stored payloads hold at most ``FRAME_ROWS`` rows, which bounds the working memory for any text.
 
 The payload encoder writes literal codes only (12-bit once the dictionary is full): a legal stream that any GIF reader
 decodes, stored at about 1.5 bytes a byte. ``encode_gif(compress=True)`` builds real dictionary codes; it works symbol by
@@ -12,11 +12,10 @@ symbol in Python and is meant for small images.
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-WIDTH, FRAME_ROWS, DELAY_CS, TAIL = 192, 1024, 10, 16
+WIDTH, FRAME_ROWS, DELAY_CS, TAIL, ALIKE = 192, 16, 10, 16, 0.0625
 LIMIT = 4096  # codes of at most 12 bits
 
 
@@ -88,34 +87,38 @@ def lzw_encode_literal(pixels: np.ndarray, min_size: int = 8) -> np.ndarray:
 def lzw_encode(pixels: np.ndarray, min_size: int = 8) -> np.ndarray:
     """Dictionary codes, with a clear code whenever the dictionary is full."""
     clear = 1 << min_size
-    out, codes = [(np.array([clear]), min_size + 1)], []
-    known: dict[tuple[int, int], int] = {}
-    prefix, next_code = -1, clear + 2
-
-    def width() -> int:
-        n = len(codes)
-        return int(_layout(min_size, n + 1)[1][n])
-
-    for p in map(int, pixels):
-        if prefix < 0:
-            prefix = p
-        elif (k := known.get((prefix, p))) is not None:
-            prefix = k
+    out: list[tuple[np.ndarray, int]] = [(np.array([clear]), min_size + 1)]
+    data = pixels.tolist()
+    if not data:
+        return _pack([*out, (np.array([clear + 1]), min_size + 1)])
+    known: dict[int, int] = {}
+    codes: list[int] = []
+    add = codes.append
+
+    def close(last: int) -> None:
+        """The codes so far and ``last`` (clear or end), cut where the width grows."""
+        add(last)
+        own, widths = np.array(codes, dtype=np.uint16), _layout(min_size, len(codes))[1]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(widths)) + 1, [len(own)]])
+        out.extend((own[x:y], int(widths[x])) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        codes.clear()
+        known.clear()
+
+    prefix, entry = data[0], clear + 2
+    for p in islice(data, 1, None):
+        key = prefix << 8 | p
+        if key in known:
+            prefix = known[key]
         else:
-            out.append((np.array([prefix]), width()))
-            codes.append(prefix)
-            known[prefix, p] = next_code
-            next_code += 1
+            add(prefix)
+            known[key] = entry
+            entry += 1
             prefix = p
-            if next_code == LIMIT - 1:
-                out += [(np.array([prefix]), width())]
-                codes.append(prefix)
-                out += [(np.array([clear]), width())]
-                known, codes, prefix, next_code = {}, [], -1, clear + 2
-    if prefix >= 0:
-        out.append((np.array([prefix]), width()))
-        codes.append(prefix)
-    out.append((np.array([clear + 1]), width()))
+            if entry == LIMIT - 1:
+                close(clear)
+                entry = clear + 2
+    add(prefix)
+    close(clear + 1)
     return _pack(out)
 
 
@@ -191,7 +194,7 @@ def _blocks(data: np.ndarray) -> bytes:
     return framed.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def encode_gif(frames: list[Frame], width: int, height: int, compress: bool = False) -> bytes:
+def encode_gif(frames: list[Frame], width: int, height: int, compress: bool = True) -> bytes:
     """Each frame with a palette of its own of up to 256 colours, or with the global one where it is the first frame's."""
     common = frames[0].palette if frames else np.zeros((2, 3), dtype=np.uint8)
 
@@ -296,6 +299,31 @@ def composed(gif: Gif):
             canvas = before
 
 
+def store_payload(payload: bytes) -> bytes:
+    """A GIF that shows the payload's bytes as grey samples, 192 to a row, in frames of at most FRAME_ROWS rows."""
+    samples = np.frombuffer(payload, dtype=np.uint8)
+    values = np.flatnonzero(np.bincount(samples, minlength=256)).astype(np.uint8)
+    number = np.zeros(256, dtype=np.uint8)
+    number[values] = np.arange(len(values), dtype=np.uint8)
+    grid = number[samples].reshape(-1, WIDTH)
+    # one colour more than there are bytes is transparent, if there is one
+    free = len(values) if len(values) < 256 else None
+    palette = np.repeat(np.append(values, np.zeros(int(free is not None), dtype=np.uint8))[:, None], 3, axis=1)
+    frames: list[Frame] = []
+    before = None
+    for k in range(0, len(grid), FRAME_ROWS):
+        rows = grid[k : k + FRAME_ROWS]
+        frame = Frame(0, 0, rows, palette, DELAY_CS, 2)
+        if before is not None and free is not None:
+            same = rows == before[: len(rows)]
+            if same.mean() >= ALIKE:
+                frames[-1].disposal = 1
+                frame.indices, frame.transparent = np.where(same, np.uint8(free), rows), free
+        frames.append(frame)
+        before = rows
+    return encode_gif(frames, WIDTH, min(len(grid), FRAME_ROWS))
+
+
 def histogram(canvas: np.ndarray) -> np.ndarray:
     """Counts of opaque pixels in 4 x 4 x 4 colour cells."""
     c = canvas.reshape(-1, 4)
@@ -303,27 +331,16 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.bincount(c[:, 0] * 16 + c[:, 1] * 4 + c[:, 2], minlength=64)
 
 
-_GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
-
-
-def store_payload(payload: bytes) -> bytes:
-    """A GIF whose grey samples are the payload's bytes, 192 to a row, in frames of at most FRAME_ROWS rows."""
-    grid = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH)
-    frames = [Frame(0, 0, grid[k : k + FRAME_ROWS], _GREY, DELAY_CS, 2) for k in range(0, len(grid), FRAME_ROWS)]
-    return encode_gif(frames, WIDTH, min(len(grid), FRAME_ROWS))
-
-
-def read_payload(gif: Gif) -> bytes:
-    return b"".join(f.palette[:, 0][f.indices].tobytes() for f in gif.frames)
-
-
-def frame_rows(gif: Gif) -> list[dict]:
-    """A row for each timed frame: its number, start and duration in centiseconds, and the colour histogram of what is shown."""
-    out, start = [], 0
+def frame_rows(gif: Gif) -> tuple[list[dict], bytes]:
+    """A row for each timed frame (its number, start and duration in centiseconds, and the colour histogram of what is shown), and the
+    red samples shown inside each frame's area."""
+    out, start, samples = [], 0, []
     for k, (f, canvas) in enumerate(zip(gif.frames, composed(gif), strict=True)):
         out.append({"frame": k, "start_cs": start, "delay_cs": f.delay_cs, "histogram": histogram(canvas).tolist()})
         start += f.delay_cs
-    return out
+        rows, cols = f.indices.shape
+        samples.append(canvas[f.top : f.top + rows, f.left : f.left + cols, 0].tobytes())
+    return out, b"".join(samples)
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -331,33 +348,44 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(1, -(-len(raw) // WIDTH)) * WIDTH, b" ")
 
 
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_cs long"
+MEDIA = "doc_id long, n_bytes long, media binary, payload binary, frames array<struct<frame:int,start_cs:int,delay_cs:int,histogram:array<int>>>"
 
 
-def digest_row(text: str | None) -> tuple:
+def media_row(text: str | None) -> tuple:
     n, payload = padded(text)
     media = store_payload(payload)
-    gif = decode_gif(media)
-    back = read_payload(gif)
-    rows = frame_rows(gif)
-    counts = np.sum([r["histogram"] for r in rows], axis=0)
-    cells = ",".join(f"{k}:{counts[k]}" for k in np.flatnonzero(counts))
-    duration = sum(r["delay_cs"] for r in rows)
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(rows)}f{duration}cs|{cells}", len(rows), duration
+    rows, back = frame_rows(decode_gif(media))
+    return n, media, back, rows
 
 
-def stored_media(docs: DataFrame, batch_rows: int = 256) -> DataFrame:
-    """Stores each row's text as a GIF, reads it back and returns digests and features.
+def stored_media(docs: DataFrame, batch_rows: int = 128) -> DataFrame:
+    """Stores each row's text as a GIF (media), reads it back (payload) and describes its frames: number, start, duration, colour histogram.
 
-    Null texts count as empty (one row of 192 spaces); ties and repeated rows give a row each; an empty table gives no rows;
-    further columns are ignored. No shuffle: each text is handled where it is read.
+    Null texts count as empty (one row of 192 spaces); ties and repeated rows give a row each, equal texts equal values; null ids are kept;
+    an empty table gives no rows; further columns are ignored. No shuffle: each text, of any length, is handled where it is read.
     """
 
     def rows(texts):
-        return list(zip(*map(digest_row, texts), strict=True))
+        return list(zip(*map(media_row, texts), strict=True))
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rows, MEDIA, batch_rows)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return stored_media(table(spark, sf_dir, "documents"))
+    """The stored media by digests. feature: frames, duration, and the cells of the summed histogram that aren't empty."""
+    frames = F.col("frames")
+    duration = F.aggregate(frames, F.lit(0).cast("long"), lambda a, f: a + f["delay_cs"])
+    total = F.aggregate(F.transform(frames, lambda f: f["histogram"]), F.array_repeat(F.lit(0).cast("long"), 64), lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
+    cells = F.filter(F.transform(total, lambda n, k: F.when(n > 0, F.concat(k.cast("string"), F.lit(":"), n.cast("string")))), lambda c: c.isNotNull())
+    return stored_media(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -TAIL, TAIL)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.size(frames), F.lit("f"), duration, F.lit("cs|"), F.array_join(cells, ",")).alias("feature"),
+        F.size(frames).cast("long").alias("n_frames"),
+        duration.alias("duration_cs"),
+    )
