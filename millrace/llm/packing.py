@@ -7,7 +7,8 @@ each length it takes, and use this pattern as often as the counts allow. If room
 cut to fill it; what is left of it goes back into the histogram. So all sequences but the last are full.
 
 Pieces learn their place by rank within their length: lengths are split into sub-buckets in proportion to their share
-(at most ``BUCKETS`` plus one a length), so a length that a third of all documents have still spreads over many tasks.
+(at most ``BUCKETS`` plus one a length) by a hash of the row's place in the input, so a length that a third of all documents have still
+spreads over many tasks, also where all those rows are the same.
 
 Null texts count as empty (a document of the end id alone); null ids and repeated rows are documents of their own; an empty table
 gives no rows; further columns are ignored. Any text is encoded whole.
@@ -104,12 +105,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 9)
 
 
-PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
-PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary, salt long"
+PLACED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def _pieces(docs: DataFrame, capacity: int, path: str | None) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("salt", pa.int64())])
 
     def run(batches):
         codec = byte_codec(path)
@@ -117,26 +118,26 @@ def _pieces(docs: DataFrame, capacity: int, path: str | None) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 512):
                 rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for doc, text, salt in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     ids = np.append(codec.encode(text), np.uint32(END)).astype("<u4")
                     n = len(ids)
                     for a in range(0, n, capacity):
                         own = ids[a : a + capacity]
-                        rows.append((doc, a, len(own), zlib.crc32(own.tobytes()), n, own.astype(narrow).tobytes() if len(own) < capacity else None))
+                        rows.append((doc, a, len(own), zlib.crc32(own.tobytes()), n, own.astype(narrow).tobytes(), salt))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("salt")).mapInArrow(run, PIECES)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """A row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, and ids, its ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     pieces = scratch.keep(_pieces(docs, capacity, path))
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     total = max(1, sum(histogram.values()))
     split = spark.createDataFrame([(n, max(1, -(-c * BUCKETS // total))) for n, c in histogram.items()], "length int, parts int")
-    spread = pieces.join(F.broadcast(split), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")).cast("int"))
+    spread = pieces.join(F.broadcast(split), "length").withColumn("part", F.pmod(F.xxhash64("start", "salt"), F.col("parts")).cast("int"))
     # at most BUCKETS parts, and one a length
     sizes = sorted(spread.groupBy("length", "part").count().collect(), key=lambda r: (r.length, r.part))
     filled: dict[int, int] = {}
@@ -146,11 +147,11 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
         filled[r.length] = filled.get(r.length, 0) + r["count"]
     base = spark.createDataFrame(bases, "length int, part int, base long")
     nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = spread.withColumn("nth", nth).join(F.broadcast(base), ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", (F.col("base") + F.col("nth") - 1).alias("rank"))
+    ranked = spread.withColumn("nth", nth).join(F.broadcast(base), ["length", "part"]).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("base") + F.col("nth") - 1).alias("rank"))
     plans = plan(histogram, capacity)
     by_class = {int(n): plans[plans[:, 0] == n] for n in np.unique(plans[:, 0])} if len(plans) else {}
     # for each class the placements by first rank; pieces cut from one tail share ranks, so all that hold a rank are looked up
-    schema = pa.schema([(n.split()[0], pa.int64()) for n in PLACED.split(", ")])
+    schema = pa.schema([(n.split()[0], pa.binary() if n.endswith("binary") else pa.int64()) for n in PLACED.split(", ")])
 
     def run(batches):
         edges = {}
@@ -158,21 +159,19 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
             cuts = np.unique(np.concatenate([p[:, 1], p[:, 2]]))
             edges[n] = (cuts, [p[(p[:, 1] <= x) & (p[:, 2] > x)][:, 1:].tolist() for x in cuts])
         for batch in batches:
-            rows = []
-            for doc, start, length, crc, n, ids, rank in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cuts, places = edges[length]
-                for first, _, offset, size, t, k, sequence, at in places[int(np.searchsorted(cuts, rank, side="right")) - 1]:
-                    own = crc
-                    if size != length:
-                        wide = np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * length else "<u4").astype("<u4")
-                        own = zlib.crc32(wide[offset : offset + size].tobytes())
-                    t += rank - first
-                    rows.append((doc, start + offset, size, own, n, sequence + t // k, at + t % k * size))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+            for part in slices(batch, 2048):
+                rows = []
+                for doc, start, length, n, ids, rank in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    cuts, places = edges[length]
+                    wide = np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * length else "<u4").astype("<u4").tobytes()
+                    for first, _, offset, size, t, k, sequence, at in places[int(np.searchsorted(cuts, rank, side="right")) - 1]:
+                        t += rank - first
+                        rows.append((doc, start + offset, size, n, sequence + t // k, at + t % k * size, wide[4 * offset : 4 * (offset + size)]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return ranked.mapInArrow(run, PLACED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
