@@ -14,7 +14,6 @@ fixed size, which changes no result. Decoding joins the labels of the arcs as th
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
 from bisect import bisect_right
@@ -234,10 +233,11 @@ class WordCodec:
                 for w in self.words.findall(self.normal(part)):
                     yield get(w) or self.word(w)
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
+    def both(self, text: str | None) -> tuple[int, bytes, bytes]:
+        """Number of ids, the ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
         found = list(self.pieces(text or ""))
         ids, counts, texts = zip(*found, strict=True) if found else ((), (), ())
-        return sum(counts), hashlib.sha256(b"".join(ids)).hexdigest(), hashlib.sha256(" ".join(texts).encode("utf-8", "surrogatepass")).hexdigest()
+        return sum(counts), b"".join(ids), " ".join(texts).encode("utf-8", "surrogatepass")
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(b"".join(p[0] for p in self.pieces(text or "")), dtype="<u4").tolist()
@@ -260,18 +260,18 @@ def vocabulary(name: str) -> str:
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text).
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (UTF-8) for each row of docs (doc_id, text).
 
-    Null texts count as empty: no ids, digests of nothing. Any length of text or word is encoded whole; repeated rows
-    give a row each; an empty table gives none; further columns are ignored.
+    Null texts count as empty: no ids, nothing decoded. Any length of text or word is encoded whole; ties cannot occur, as merges
+    are ordered; repeated rows give a row each, null ids are kept; an empty table gives none; further columns are ignored.
     """
     at = path or vocabulary("word_bpe_49k.json")
 
     def rows(texts):
-        return list(zip(*map(codec(at).digest, texts), strict=True))
+        return list(zip(*map(codec(at).both, texts), strict=True))
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rows, "doc_id long, n_tokens long, ids binary, decoded binary", 256)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents"))
+    return encoded(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
