@@ -7,9 +7,11 @@ given, or learned where the phrase occurs in clean rows only. The weighted sum,
 score through a logistic curve in two features: log density and log sum.
 
 Learning uses labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``SAMPLE`` of them (those with the smallest hash of the id;
-a documented bound); labels, lang, source and doc_id are no inputs of a score. Scoring reads every whole text where it is
-stored, without a shuffle. Null and empty texts get the score of no match; null ids count as the text ''; repeated rows give a
-row each; without usable labels the lexicon is empty and all scores are 0.
+a documented bound), one text for each id (that of the least digest, if an id is repeated). All words of these rows may become
+entries and all their phrases exceptions; there is no further cap, as the sample bounds both. Labels, lang, source and doc_id are no inputs
+of a score. Scoring reads every whole text, of any length, where it is stored, without a shuffle. Null and empty texts get the score
+of no match; null ids count as the text ''; repeated rows give a row each, equal texts equal scores; an empty table gives no rows; further
+columns are ignored by scoring and passed through by rejecting; without usable labels the lexicon is empty and all scores are 0.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, table
+from .common import Scratch, map_texts, slices, table
 
 SAMPLE, FOLDS = 20_000, 5
-PREFIXES, MIN_WEIGHT, Z, MAX_ENTRIES = (4, 5, 6), 1.5, 2.0, 2000
+PREFIXES, MIN_WEIGHT, Z = (4, 5, 6), 1.5, 2.0
 #: Fixed: letters of other scripts that look like Latin ones, and characters used in place of letters.
 HOMOGLYPHS = dict(zip("аеорсхуіјѕԁһкмтвнαεοριυνκτ", "aeopcxyijsdhkmtbhaeopiuvkt", strict=True))
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -58,7 +60,7 @@ def fold(text: str | None) -> list[str]:
 def entries_of(words: list[str]) -> set[str]:
     """Candidate entries: ' word ' for the whole word, ' wor' for its beginning."""
     distinct = set(words)
-    out = {f" {w} " for w in distinct if 3 <= len(w) <= 32}
+    out = {f" {w} " for w in distinct}
     for n in PREFIXES:
         out |= {" " + w[:n] for w in distinct if len(w) >= n}
     return out
@@ -119,8 +121,8 @@ def choose_entries(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -
         if weight >= MIN_WEIGHT:
             weighed.append((k, weight))
     out: dict[str, float] = {}
-    for k, weight in sorted(sorted(weighed, key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES], key=lambda x: (len(x[0].strip()), x[0])):
-        if not any(k.strip().startswith(k0.strip()) for k0 in (k[:n] for n in range(3, len(k))) if k0 in out):
+    for k, weight in sorted(weighed, key=lambda x: (len(x[0].strip()), x[0])):
+        if not any(k[: n + 1] in out for n in PREFIXES):
             out[k] = weight
     return out
 
@@ -149,7 +151,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
     """A model from at most ``sample`` labelled rows outside the held-out fold."""
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounds what is broadcast and collected below
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # read by the four passes below
+    rows = Scratch(docs.sparkSession, "toxicity").keep(texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.md5(F.encode("text", "UTF-8")), F.col("text").isNull())).alias("text")).select("toxic", "text"))
 
     def count(batches):
         counts: Counter = Counter()
@@ -170,12 +174,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
         yield flush()
 
     summed = rows.mapInArrow(count, "entry string, toxic int, n long").groupBy("entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("b"))
+    summed = Scratch(docs.sparkSession, "toxicity").keep(summed)
     sizes = summed.filter("entry = ''").first()
     if sizes is None or not sizes.a or not sizes.b:
         return Model()
     toxic, clean = int(sizes.a), int(sizes.b)
     bound = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1)) - Z * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    strong = summed.filter("entry != ''").filter(bound >= MIN_WEIGHT).orderBy(bound.desc(), "entry").limit(MAX_ENTRIES).collect()
+    strong = summed.filter("entry != ''").filter(bound >= MIN_WEIGHT).collect()
     model = Model(choose_entries({r.entry: (int(r.a), int(r.b)) for r in strong}, toxic, clean), frozenset(exceptions))
 
     def phrases(batches):
@@ -187,7 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["phrase", "toxic", "n"])
 
     innocent = rows.mapInArrow(phrases, "phrase string, toxic int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("b"))
-    learned = innocent.filter("a = 0 AND b >= 3").orderBy(F.desc("b"), "phrase").limit(MAX_ENTRIES).collect()
+    learned = innocent.filter("a = 0 AND b >= 3").collect()
     model.exceptions |= {r.phrase for r in learned}
 
     def features(texts):
