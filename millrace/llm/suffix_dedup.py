@@ -8,23 +8,21 @@ the input, and each distinct window keeps its first occurrence only.
 2. *Segments.* A repeated anchor brings the bytes of all windows that select it, at most 2 * WINDOW - GRAM. Segments are gathered by anchor;
    an anchor with more than ``GROUP`` occurrences is dealt to several groups.
 3. *Column-wise construction.* The distinct segments of some groups form a collection. Each round inserts one symbol of each segment, from the
-   right: the place of the longer suffix is the LF mapping of the place of the shorter one in the collection's Burrows-Wheeler transform, which
-   is merged with the new symbols in one sequential pass. Collections above ``IN_MEMORY`` bytes keep the transform and the suffix
-   numbers in two files that are read and written alternately; smaller ones stay in memory. Neighbours in the finished order
-   whose common prefix reaches WINDOW are equal windows; as only this matters, the common prefixes are taken in one pass at the end.
+   right: the place of the longer suffix is the LF mapping of the place of the shorter one in the collection's Burrows-Wheeler transform. The
+   transform and the common prefixes are updated in the same round, each column in one sequential pass. Neighbours in the finished order
+   whose common prefix reaches WINDOW are equal windows. A collection has about ``COLLECTION`` bytes (a group of at most ``GROUP`` segments
+   more), so its columns are held in memory, in place of external files.
 4. Where an anchor was dealt to several groups, each group's first occurrences meet again by the window's 128-bit hash, a minimum with
    partial aggregates.
 
 Null texts count as empty; texts shorter than a window lose nothing. If ids are null or repeated, rows are ordered by id (nulls last), then by text. Any
-length of text works in pieces of bounded size; an empty table gives no rows; further columns are ignored by the query
+length of text works in pieces of bounded size, and repeated rows lose all that the first one holds; an empty table gives no rows; further columns are ignored by the query
 and passed through by :func:`deduplicated`.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +35,7 @@ from .common import Scratch, replaced, slices, table, text_of
 from .ngram_join import mixed
 
 WINDOW, GRAM, CHUNK = 100, 32, 1 << 16
-GROUP, COLLECTION, IN_MEMORY = 1000, 1 << 20, 256 << 20
+GROUP, COLLECTION = 1000, 1 << 20
 HELD = 200_000  # segments that a task remembers, so as not to send later copies of them
 
 _SEED = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
@@ -73,31 +71,13 @@ def anchor_runs(raw: np.ndarray):
         yield h[at[first]], at[first] + begin, first + begin, last + begin
 
 
-class _Columns:
-    """The transform and the suffix numbers of a collection, in memory or in two files used in turn."""
+def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of the segments in sorted order, as segment * 256 + start, and the common prefix of each with the one before it.
+    Segments have at most 255 bytes below 0xFF; equal suffixes follow the segments' order.
 
-    def __init__(self, on_disk: bool):
-        self.dir = tempfile.TemporaryDirectory(prefix="columns-") if on_disk else None
-        self.turn, self.held = 0, None
-
-    def put(self, rows: np.ndarray) -> None:
-        if self.dir is None:
-            self.held = rows
-            return
-        self.turn ^= 1
-        self.kind = rows.dtype
-        rows.tofile(os.path.join(self.dir.name, str(self.turn)))
-
-    def get(self) -> np.ndarray:
-        return self.held if self.dir is None else np.fromfile(os.path.join(self.dir.name, str(self.turn)), dtype=self.kind)
-
-    def close(self) -> None:
-        if self.dir is not None:
-            self.dir.cleanup()
-
-
-def suffix_order(segments: list[bytes], on_disk: bool = False) -> np.ndarray:
-    """All suffixes of the segments in sorted order, as segment * 256 + start. Segments have at most 255 bytes below 0xFF; equal suffixes follow the segments' order."""
+    Round k inserts the suffix of length k of each segment. Behind symbol c the suffixes keep the order of what follows it, so the new place of
+    c + s is the rank of s's entry among the transform's symbols, and c + s shares one symbol more with the one before it than s
+    does with the last earlier entry of c: the least common prefix in between. All columns are read and written once a round, in order."""
     m = len(segments)
     lengths = np.array(list(map(len, segments)), dtype=np.int64)
     text = np.full((m, int(lengths.max(initial=0)) + 1), 0xFF, dtype=np.uint8)  # 0xFF stands before the first symbol
@@ -105,50 +85,52 @@ def suffix_order(segments: list[bytes], on_disk: bool = False) -> np.ndarray:
         text[i, 1 : len(s) + 1] = np.frombuffer(s, dtype=np.uint8)
     # a row holds a suffix's number above, and the symbol before it (the transform) in its lowest byte
     kind = np.dtype("<u4") if m <= 1 << 16 else np.dtype("<u8")
-    columns = _Columns(on_disk)
 
     def rows(which, start):
         return ((which * 256 + start) << 8 | text[which, start]).astype(kind)
 
-    try:
-        place, start = np.arange(m), lengths.copy()
-        columns.put(rows(place, start))
-        active = np.flatnonzero(start > 0)
-        while len(active):
-            held = columns.get()
-            n = len(held)
-            order = np.argsort(np.ascontiguousarray(held.view(np.uint8)[:: kind.itemsize]), kind="stable")
-            rank = np.empty(n, dtype=np.int32)
-            rank[order] = np.arange(n, dtype=np.int32)
-            new = m + rank[place[active]].astype(np.int64)
-            start[active] -= 1
-            old = np.ones(n + len(active), dtype=bool)
-            old[new] = False
-            merged = np.empty(n + len(active), dtype=kind)
-            merged[old] = held
-            merged[new] = rows(active, start[active])
-            place[active] = new
-            columns.put(merged)
-            active = active[start[active] > 0]
-        return columns.get() >> 8
-    finally:
-        columns.close()
+    place, start = np.arange(m), lengths.copy()
+    held, prefix = rows(place, start), np.zeros(m, dtype=np.uint8)
+    active = np.flatnonzero(start > 0)
+    while len(active):
+        n = len(held)
+        symbols = np.ascontiguousarray(held.view(np.uint8)[:: kind.itemsize])
+        order = np.argsort(symbols, kind="stable")
+        rank = np.empty(n, dtype=np.int32)
+        rank[order] = np.arange(n, dtype=np.int32)
+        ranks = rank[place[active]].astype(np.int64)
+        new = m + ranks
+        start[active] -= 1
+        fresh = np.zeros(n + len(active), dtype=bool)
+        fresh[new] = True
+        merged, common = np.empty(n + len(active), dtype=kind), np.empty(n + len(active), dtype=np.uint8)
+        merged[~fresh], common[~fresh] = held, prefix
+        merged[new] = rows(active, start[active])
+        # the new suffixes and those behind them
+        after = ranks + 1
+        changed = np.unique(np.concatenate([ranks, after[(after < n) & (after + m < n + len(active))]]))
+        here = order[changed]
+        before = np.where(changed > 0, order[changed - 1], -1)
+        alike = (before >= 0) & (symbols[here] == symbols[before]) & (symbols[here] != 0xFF)
+        value = np.zeros(len(changed), dtype=np.uint8)
+        if alike.any():
+            spans = np.stack([before[alike] + 1, here[alike] + 1], axis=1).ravel()
+            value[alike] = np.minimum.reduceat(np.append(prefix, np.uint8(0xFF)), spans)[::2] + np.uint8(1)
+        common[m + changed] = value
+        held, prefix, place[active] = merged, common, new
+        active = active[start[active] > 0]
+    return held >> 8, prefix
 
 
 def equal_windows(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, segment, start) of each window of the segments, classes ascending: windows of one class are equal."""
-    order = suffix_order(segments, sum(map(len, segments)) * 5 > IN_MEMORY)
+    order, prefix = suffix_order(segments)
     lengths = np.array(list(map(len, segments)), dtype=np.int64)
     segment, start = (order >> 8).astype(np.int64), (order & 255).astype(np.int64)
+    # shorter suffixes have shorter common prefixes, so a window's class ends where one falls short, also behind suffixes left out
+    kind = np.cumsum(prefix < WINDOW)
     keep = start + WINDOW <= lengths[segment]
-    segment, start = segment[keep], start[keep]
-    flat = np.frombuffer(b"".join(segments), dtype=np.uint8)
-    at = (np.cumsum(lengths) - lengths)[segment] + start
-    same = np.zeros(len(at), dtype=bool)
-    for k in range(1, len(at), 16384):
-        rows = flat[at[k - 1 : k + 16384, None] + np.arange(WINDOW)]
-        same[k : k + len(rows) - 1] = (rows[1:] == rows[:-1]).all(axis=1)
-    return np.cumsum(~same), segment, start
+    return kind[keep], segment[keep], start[keep]
 
 
 def mark_collection(number: np.ndarray, at: np.ndarray, anchor: np.ndarray, own: list[bytes]) -> tuple[tuple, tuple]:
