@@ -159,11 +159,17 @@ def brute_removed(docs):
 
 def test_suffix_order():
     rng = random.Random(2)
-    segments = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 60))) for _ in range(50)]
-    order = suffix_dedup.suffix_order(segments)
-    suffixes = [(segments[x >> 8][x & 255 :], x >> 8) for x in order.tolist()]
-    assert [s for s, _ in suffixes] == sorted(s for s, _ in suffixes) and len(suffixes) == sum(len(s) + 1 for s in segments)
-    assert (suffix_dedup.suffix_order(segments, on_disk=True) == order).all()
+    for letters, most in ((b"ab", 60), (b"a", 20), (bytes(range(0xF0)), 200), (b"abc ", 5)):
+        segments = [bytes(rng.choice(letters) for _ in range(rng.randint(0, most))) for _ in range(50)]
+        segments += [segments[3], b"", segments[7][2:]]
+        order, prefix = suffix_dedup.suffix_order(segments)
+        suffixes = [(segments[x >> 8][x & 255 :], x >> 8) for x in order.tolist()]
+        assert [s for s, _ in suffixes] == sorted(s for s, _ in suffixes) and len(suffixes) == sum(len(s) + 1 for s in segments)
+
+        def common(a, b):
+            return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+        assert prefix.tolist() == [0] + [common(a, b) for (a, _), (b, _) in zip(suffixes, suffixes[1:], strict=False)]
 
 
 def passages():
