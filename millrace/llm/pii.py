@@ -3,13 +3,20 @@
 Base kinds are found leftmost and non-overlapping by regular expressions whose quantifiers are possessive and which start only at the
 edge of a run (or where the last match ended), so that any text is scanned in linear time. Offsets count code points.
 
-Disclosure. For an entity e (a base value, case folded) and a term t (letters, at least MIN_TERM) in the same text, at any distance,
+Disclosure. For an entity e (a base value, case folded) and a term t (a run of letters, at least MIN_TERM, that no base span touches) in the
+same text, at any distance,
 
     IC(e) = log2(N / n(e)),    PMI(t; e) = log2(N n(t, e) / (n(t) n(e)))
 
 with n counting documents of the whole corpus. A term that at least ``support`` different texts hold with e is *generalised*
 where PMI >= ``generalise`` * IC and *removed* where PMI >= ``remove`` * IC (for any e). Every occurrence of such a term, in texts with
-and without e, becomes a span of kind ``term``, unless it overlaps a base span. All statistics come from all documents; nothing is capped.
+and without e, becomes a span of kind ``term``. All statistics come from all documents; nothing is capped.
+
+Of the base kinds only addresses hold letters, so terms are looked up where addresses are blotted out by a character that Unicode keeps
+out of texts (MARK; a word that stands beside one in a text counts as touched). Offsets are running sums in blocks of fixed size, so
+that a text with any number of matches takes time in proportion to it.
+
+Words are thinned by a table of ``BITS`` bits of the wanted terms' hashes before they are counted or joined; joins decide.
 
 Copies of a text are counted by their number but handled once. Null texts count as empty; empty texts have no spans; null or repeated ids
 keep their rows; an empty table gives no rows; further columns do not matter to :func:`find_pii` and are passed through by :func:`redact`.
@@ -31,9 +38,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-MIN_TERM = 3
-WORD = rf"\p{{L}}{{{MIN_TERM},}}"
+#: A character of every match.
+NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+MIN_TERM, MARK, BITS, BLOCK = 3, "\ufdd0", 1 << 16, 256
+WORD = rf"[\p{{L}}\x{{FDD0}}]{{{MIN_TERM},}}"
 SPAN = "array<struct<start:int,end:int,value:string>>"
+TERMS = "array<struct<start:int,end:int,action:string>>"
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -47,161 +57,181 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def positions(text: Column, pattern: str | Column) -> Column:
-    """Spans of all matches: the gaps between them and the matches themselves, summed up."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, F.lit(pattern), -1)
-    parts = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+def _held(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, also where lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
+def running(values: Column, merge) -> Column:
+    """For each place of an array of integers (from 0 up) the values up to it, merged (sum or maximum): blocks first, then inside each."""
 
+    def scan(xs, start):
+        def step(acc, x):
+            now = merge(acc["at"], x)
+            return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))
 
-def base_spans(text: Column, kind: str) -> Column:
-    return F.filter(positions(text, PATTERNS[kind]), lambda x: _valid(kind, x["value"]))
+        return F.aggregate(xs, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
 
+    def blocks(v):
+        return F.transform(F.sequence(F.lit(0), (F.floor((F.size(v) - 1) / BLOCK)).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
 
-def _joined(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda x: F.concat(F.lit(f"{kind}:"), x["start"], F.lit(":"), x["end"]))
+    def whole(v):
+        totals = scan(F.transform(blocks(v), lambda b: F.aggregate(b, F.lit(0), merge)), F.lit(0))
+        return F.flatten(F.zip_with(blocks(v), F.concat(F.array(F.lit(0)), F.slice(totals, 1, F.size(totals) - 1)), scan))
 
+    return _held(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
 
-def _words(text: Column) -> Column:
-    """The distinct terms of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
+def positions(text: Column, pattern: str) -> Column:
+    """Spans of all matches: running sums over the gaps between them and the matches themselves."""
 
-def _held(value: Column, use) -> Column:
-    """``use`` of a value that is evaluated once, also where lambdas refer to it."""
-    return F.transform(F.array(value), use)[0]
+    def placed(found):
+        gaps = F.slice(F.split(text, F.lit(pattern), -1), F.lit(1), F.size(found))
+        ends = running(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)), lambda a, x: a + x)
+        return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
 
+    return _held(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(SPAN)))
 
-def _clear_terms(text: Column, spans: Column) -> Column:
-    """The distinct terms of a text with an occurrence that overlaps no span: those of the pieces between the spans."""
-    letter = lambda at: F.substring(text, at + 1, F.lit(1)).rlike(r"^\p{L}")
 
-    def piece(ordered, k):
-        begin = F.when(k == 0, 0).otherwise(F.array_max(F.transform(F.slice(ordered, 1, k), lambda x: x["end"])))
-        end = F.when(k == F.size(ordered), F.length(text)).otherwise(F.get(ordered, k)["start"])
-        part = F.substring(text, begin + 1, F.greatest(F.lit(0), end - begin))
-        # a word that goes on inside a span is no term of the piece
-        part = F.when((begin > 0) & letter(F.greatest(F.lit(0), begin - 1)), F.regexp_replace(part, r"^\p{L}+", "")).otherwise(part)
-        return F.when(letter(end), F.regexp_replace(part, r"(?<!\p{L})\p{L}++$", "")).otherwise(part)
+def base_spans(text: Column, kind: str) -> Column:
+    spans = F.filter(positions(text, PATTERNS[kind]), lambda x: _valid(kind, x["value"]))
+    # texts without the character that each match holds aren't scanned
+    return F.when(F.contains(text, F.lit(NEEDS[kind])), spans).otherwise(F.array().cast(SPAN)) if kind in NEEDS else spans
 
-    pieces = _held(F.array_sort(spans), lambda ordered: F.transform(F.sequence(F.lit(0), F.size(ordered)), lambda k: _words(piece(ordered, k))))
-    return F.array_distinct(F.flatten(pieces))
 
+def _joined(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.concat(F.lit(f"{kind}:"), x["start"], F.lit(":"), x["end"]))
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """term, n_t: documents of the corpus that hold the term."""
-    return docs.select(F.explode(_words(text_of())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
+def blotted(text: Column) -> Column:
+    """The text with MARK in place of each character of an address."""
 
-def disclosing(docs: DataFrame, hits: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
-    """term, action for the terms that disclose an entity. hits: digest, entities, terms, copies of each text with an entity."""
-    held = hits.select("digest", "copies", F.explode("entities").alias("entity"))
-    n_e = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-    # entities of fewer texts can have no pair with enough of them
-    shared = held.join(n_e.filter(F.col("texts") >= support).select("entity"), "entity").groupBy("digest").agg(F.collect_list("entity").alias("shared"))
-    both = hits.join(shared, "digest").select("copies", "shared", F.explode("terms").alias("term")).select("copies", "term", F.explode("shared").alias("entity"))
-    pairs = both.groupBy("term", "entity").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts")
-    n = F.lit(float(docs.count()))
-    ic = F.log2(n / F.col("n_e"))
-    pmi = F.log2(n * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
-    scored = pairs.join(n_e.select("entity", "n_e"), "entity").join(term_counts(docs), "term").withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(0.0))
-    action = F.when(F.max("ratio") >= remove - 1e-9, "removed").otherwise("generalised")
-    return scored.filter(F.col("ratio") >= generalise - 1e-9).groupBy("term").agg(action.alias("action"))
+    def joined(found):
+        gaps = F.split(text, F.lit(PATTERNS["email"]), -1)
+        parts = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.concat(g, F.repeat(F.lit(MARK), F.length(m))))
+        return F.concat(F.array_join(parts, ""), F.element_at(gaps, -1))
 
+    found = F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))
+    return F.when(F.contains(text, F.lit("@")), _held(found, lambda f: F.when(F.size(f) > 0, joined(f)).otherwise(text))).otherwise(text)
 
-def _digest() -> Column:
-    return F.unhex(F.md5(F.encode(text_of(), "UTF-8")))
 
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text."""
+    words = F.regexp_extract_all(blotted(text), F.lit(WORD), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: ~F.contains(w, F.lit(MARK))), F.lower))
 
-TERMS = "array<struct<start:int,end:int,action:string>>"
 
+def _bits(terms: DataFrame):
+    """A test that all of ``terms`` (column term) pass and few others; its table has BITS bits, whatever the number of terms."""
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(BITS))
+    h = place(F.col("term"))
+    rows = terms.select(F.floor(h / 64).cast("int").alias("k"), F.expr("1L").alias("one"), (h % 64).cast("int").alias("b")).groupBy("k").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits")).collect()  # at most BITS / 64 rows
+    table_ = dict((r.k, r.bits) for r in rows)
+    bits = F.split(F.lit(",".join(str(table_.get(k, 0)) for k in range(BITS // 64))), ",").cast("array<bigint>")
+
+    def test(word: Column) -> Column:
+        return _held(place(word), lambda x: F.call_function("shiftright", F.get(bits, F.floor(x / 64).cast("int")), (x % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
 
-def term_spans(text: Column, spans: Column, flagged: Column) -> Column:
-    """Where flagged terms (map of term to action) stand clear of the base spans: array<struct<start, end, action>>."""
-    # the words of this text that are such terms, as they are written; letters need no quotes in a pattern
-    forms = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda w: F.element_at(flagged, F.lower(w)).isNotNull())
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
-    both = F.struct(spans.alias("spans"), _held(pattern, lambda p: positions(text, p)).alias("found"))
-    clear = _held(both, lambda x: F.filter(x["found"], lambda w: ~F.exists(x["spans"], lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))))
-    return F.transform(clear, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at(flagged, F.lower(w["value"])).alias("action")))
+    return test
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(F.encode(text_of(), "UTF-8")))
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """docs with a digest of the text and the base spans of each kind."""
-    text = text_of()
-    return docs.withColumn("_digest", _digest()).withColumns({f"_{k}": base_spans(text, k) for k in KINDS})
+    """docs (with a column text) with a digest of the text, the base spans of each kind, the entities, and the terms of texts that hold some."""
+    out = docs.withColumn("_digest", _digest()).withColumns({f"_{k}": base_spans(text_of(), k) for k in KINDS})
+    out = out.withColumn("_entities", F.array_distinct(F.transform(F.concat(*(F.col(f"_{k}") for k in KINDS)), lambda s: F.lower(s["value"]))))
+    return out.withColumn("_terms", F.when(F.size("_entities") > 0, terms_of(text_of())))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise: float, remove: float, support: int) -> DataFrame | None:
+    """term, action for the terms that disclose an entity; None if no term is with an entity in enough texts. found: _digest, _entities, _terms of docs."""
+    hits = found.filter(F.size("_entities") > 0).groupBy("_digest").agg(F.first("_entities").alias("entities"), F.first("_terms").alias("terms"), F.count(F.lit(1)).alias("copies"))
+    hits = scratch.keep(hits)
+    held = hits.select("_digest", "copies", F.explode("entities").alias("entity"))
+    n_e = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
+    n_e = scratch.keep(n_e.select("entity", "n_e"))  # entities of fewer texts can have no pair with enough of them
+    if n_e.isEmpty():
+        return None
+    shared = held.join(n_e, "entity").groupBy("_digest").agg(F.collect_list("entity").alias("shared"))
+    both = hits.join(shared, "_digest").select("copies", "shared", F.explode("terms").alias("term")).select("copies", "term", F.explode("shared").alias("entity"))
+    pairs = scratch.keep(both.groupBy("term", "entity").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts"))
+    if pairs.isEmpty():
+        return None
+    n_t = docs.select(F.explode(F.filter(terms_of(text_of()), _bits(pairs))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n = F.lit(float(found.count()))
+    ic = F.log2(n / F.col("n_e"))
+    pmi = F.log2(n * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
+    scored = pairs.join(n_e, "entity").join(n_t, "term").withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(0.0))
+    action = F.when(F.max("ratio") >= remove - 1e-9, "removed").otherwise("generalised")
+    return scratch.keep(scored.filter(F.col("ratio") >= generalise - 1e-9).groupBy("term").agg(action.alias("action")))
 
 
-def _spans_of() -> Column:
-    return F.concat(*(F.col(f"_{k}") for k in KINDS))
+def occurrences(docs: DataFrame, flagged: DataFrame, scratch: Scratch) -> DataFrame:
+    """_digest, terms (where flagged terms stand: array<struct<start, end, action>>, in order) for all texts that hold some."""
+    test = _bits(flagged)
+    words = F.filter(positions(blotted(text_of()), WORD), lambda w: ~F.contains(w["value"], F.lit(MARK)) & test(F.lower(w["value"])))
+    found = docs.select(_digest().alias("_digest"), F.explode(words).alias("w")).select("_digest", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.value").alias("term"))
+    places = found.join(flagged, "term").groupBy("_digest").agg(F.collect_set(F.struct("start", "end", "action")).alias("terms"))
+    return scratch.keep(places.select("_digest", F.array_sort("terms").alias("terms")))
 
 
-def _flagged_texts(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise: float, remove: float, support: int) -> DataFrame:
-    """_digest, flagged (map of term to action) for all texts that hold a disclosing term."""
-    some = found.select("_digest", "text", _spans_of().alias("spans")).filter(F.size("spans") > 0)
-    entities = F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))
-    hits = some.select(F.col("_digest").alias("digest"), entities.alias("entities"), _clear_terms(text_of(), F.col("spans")).alias("terms"))
-    hits = scratch.keep(hits.groupBy("digest").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("copies")))
-    terms = scratch.keep(disclosing(docs, hits, generalise, remove, support))
-    words = docs.select(_digest().alias("_digest"), F.explode(_words(text_of())).alias("term"))
-    held = words.join(terms, "term").select("_digest", "term", "action").distinct()
-    return scratch.keep(held.groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("flagged")))
+def _spans_and_terms(docs: DataFrame, columns: list[str], scratch: Scratch, generalise: float, remove: float, support: int) -> DataFrame:
+    """``columns`` of docs and of what :func:`_found` adds, and the places of disclosing terms. Base patterns run once over each text."""
+    found = scratch.keep(_found(docs).select(*columns, "_digest", "_entities", "_terms"))
+    flagged = disclosing(docs, found, scratch, generalise, remove, support)
+    if flagged is None or flagged.isEmpty():
+        return found.withColumn("terms", F.array().cast(TERMS))
+    return found.join(occurrences(docs, flagged, scratch), "_digest", "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
 
 
 def find_pii(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
     """A row for each row of docs (doc_id, text): counts of the base kinds, the digest of the base spans, and all spans."""
-    scratch = Scratch(docs.sparkSession, "pii")
-    docs = docs.select("doc_id", "text")
-    found = _found(docs)
+    rows = _spans_and_terms(docs.select("doc_id", "text"), ["doc_id", *(f"_{k}" for k in KINDS)], Scratch(docs.sparkSession, "pii"), generalise, remove, support)
     base = F.concat(*(_joined(k, F.col(f"_{k}")) for k in KINDS))
-    rows = scratch.keep(found.select("doc_id", "_digest", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), base.alias("_base")))
-    flagged = _flagged_texts(docs, found, scratch, generalise, remove, support)
-    # one row a text before the join, so that copies don't meet there
-    texts = flagged.join(docs.select(_digest().alias("_digest"), text_of().alias("text")).dropDuplicates(["_digest"]), "_digest")
-    spans = F.concat(*(base_spans(F.col("text"), k) for k in KINDS))
-    terms = scratch.keep(texts.select("_digest", term_spans(F.col("text"), spans, F.col("flagged")).alias("terms")))
-    more = F.coalesce(_joined("term", F.col("terms")), F.array().cast("array<string>"))
-    both = rows.join(terms, "_digest", "left")
-    return both.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.array_join("_base", ","), 256).alias("base_sha256"), F.array_join(F.concat("_base", more), ",").alias("spans"))
+    return rows.select("doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), base.alias("_base"), _joined("term", F.col("terms")).alias("_more")).select(
+        "doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.array_join("_base", ","), 256).alias("base_sha256"), F.array_join(F.concat("_base", "_more"), ",").alias("spans")
+    )
+
+
+def replaced_spans(text: Column, spans: Column) -> Column:
+    """The text with spans (start, end, by; in order) replaced. Spans that overlap are replaced together, by what stands for the first."""
+    # pieces are cut from blocks, as finding a place in a text takes time in proportion to it
+    cut = lambda blocks, a, b: F.when(b > a, F.substring(F.array_join(F.slice(blocks, F.floor(a / BLOCK).cast("int") + 1, (F.floor((b - 1) / BLOCK) - F.floor(a / BLOCK)).cast("int") + 1), ""), a % BLOCK + 1, b - a)).otherwise("")
+
+    def joined(x):
+        before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(x["reach"], k - 1))
+        heads = F.filter(F.transform(x["spans"], lambda s, k: F.struct(s["start"].alias("start"), s["by"].alias("by"), before(k).alias("before"))), lambda h: h["start"] >= h["before"])
+        parts = F.transform(heads, lambda h: F.concat(cut(x["blocks"], h["before"], h["start"]), h["by"]))
+        return F.concat(F.array_join(parts, ""), cut(x["blocks"], F.element_at(x["reach"], -1), x["length"]))
+
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    with_reach = lambda s: F.struct(s.alias("spans"), running(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x)).alias("reach"), blocks.alias("blocks"), F.length(text).alias("length"))
+    return _held(_held(spans, with_reach), joined)
 
 
 def redact(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
     """docs with each text's spans replaced by its kind in brackets; removed terms leave ``[REMOVED]``, generalised ones ``[TERM]``.
 
-    Overlapping spans are replaced from left to right; a span that begins inside one already replaced is dropped with it.
+    Overlapping spans are replaced together, by the kind of the one that starts first (of the least end and kind, if several do).
     Texts without a span come back as they are, null ones as null.
     """
-    scratch = Scratch(docs.sparkSession, "redact")
     # the input's columns travel in one struct, so that no name of theirs can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").cast("string").alias("text"))
-    flagged = _flagged_texts(rows, _found(rows), scratch, generalise, remove, support)
-    # base spans are found before the join, which carries them
-    found = _found(rows).join(flagged, "_digest", "left")
-    terms = F.when(F.col("flagged").isNotNull(), term_spans(text_of(), _spans_of(), F.col("flagged"))).otherwise(F.array().cast(TERMS))
+    found = _spans_and_terms(rows, ["_row", "text", *(f"_{k}" for k in KINDS)], Scratch(docs.sparkSession, "redact"), generalise, remove, support)
 
     def tag(kind):
         return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("by"))
 
     tagged = [F.transform(F.col(f"_{k}"), tag(k)) for k in KINDS]
-    more = F.transform(terms, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "removed", "[REMOVED]").otherwise("[TERM]").alias("by")))
-
-    def step(acc, x):
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), x["by"])
-        return F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    found = found.select("_row", "text", F.array_sort(F.concat(*tagged, more)).alias("_spans"))
-    text = F.aggregate(F.col("_spans"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    touched = F.size("_spans") > 0
-    return found.select(*(F.when(touched, new).otherwise(F.col("_row")[c]).alias(c) for c, new in zip(docs.columns, replaced(docs, text), strict=True)))
+    more = F.transform(F.col("terms"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "removed", "[REMOVED]").otherwise("[TERM]").alias("by")))
+    spans = F.array_sort(F.concat(*tagged, more))
+    text = replaced_spans(F.col("text"), spans)
+    touched = F.size(F.concat(*(F.transform(F.col(f"_{k}"), lambda x: x["start"]) for k in KINDS), F.transform("terms", lambda x: x["start"]))) > 0
+    done = found.select("_row", F.when(touched, text).otherwise(F.col("text")).alias("_new"), touched.alias("_touched"))
+    return done.select(*(F.when(F.col("_touched"), new).otherwise(F.col("_row")[c]).alias(c) for c, new in zip(docs.columns, replaced(docs, F.col("_new")), strict=True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

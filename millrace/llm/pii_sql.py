@@ -15,34 +15,34 @@ _VALID = {
 }
 
 
-def _positions(text: str, pattern: str, offset: str = "0") -> str:
-    """A list of {s, e, v, d}: start, end, value and its digits."""
+def _positions(text: str, pattern: str) -> str:
+    """A list of {s, v, d}: start, value and its digits."""
     g, m = f"string_split_regex({text}, '{pattern}')", f"regexp_extract_all({text}, '{pattern}')"
     return (
-        f"list_transform(range(1, len({m}) + 1), lambda i: {{'s': CAST({offset} + list_sum(list_transform({g}[1:i], lambda p: len(p))) + coalesce(list_sum(list_transform({m}[1:i - 1], lambda p: len(p))), 0) AS INT), "
+        f"list_transform(range(1, len({m}) + 1), lambda i: {{'s': CAST(list_sum(list_transform({g}[1:i], lambda p: len(p))) + coalesce(list_sum(list_transform({m}[1:i - 1], lambda p: len(p))), 0) AS INT), "
         f"'v': {m}[i], 'd': regexp_replace({m}[i], '[^0-9]', '', 'g')}})"
     )
 
 
 def sql() -> str:
     kinds = ", ".join(f"list_transform(list_filter({_positions('text', p)}, lambda x: {_VALID[k]}), lambda x: {{'k': '{k}', 's': x.s, 'e': CAST(x.s + len(x.v) AS INT), 'v': x.v}}) AS {k}" for k, p in _PATTERNS.items())
-    word = r"\p{L}{3,}"
-    left, right = "substr(text, greatest(0, s - 60) + 1, s - greatest(0, s - 60))", "substr(text, e + 1, 60)"
+    word, mark, email = r"[\p{L}\x{FDD0}]{3,}", "chr(64976)", _PATTERNS["email"]
+    g, m = f"string_split_regex(text, '{email}')", f"regexp_extract_all(text, '{email}')"
+    blotted = f"array_to_string(list_transform(range(1, len({m}) + 1), lambda i: {g}[i] || repeat({mark}, len({m}[i]))), '') || {g}[-1]"
     return rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
-), found AS (SELECT text, count(*) AS copies, {kinds} FROM docs GROUP BY text
-), base AS (SELECT text, copies, email, ip, card, phone, list_concat(list_concat(email, ip), list_concat(card, phone)) AS spans FROM found
-), ents AS (SELECT text, copies, spans, x.s AS s, x.e AS e, lower(x.v) AS entity FROM (SELECT text, copies, spans, unnest(spans) AS x FROM base)
-), sides AS (SELECT text, copies, spans, entity, unnest(list_concat({_positions(left, word, 'greatest(0, s - 60)')}, {_positions(right, word, 'e')})) AS w FROM ents
-), near AS (SELECT text, copies, entity, lower(w.v) AS term, w.s AS s, CAST(w.s + len(w.v) AS INT) AS e FROM sides
-  WHERE NOT regexp_matches(substr(text, w.s + len(w.v) + 1, 1), '\p{{L}}') AND NOT (w.s > 0 AND regexp_matches(substr(text, w.s, 1), '\p{{L}}'))
-    AND len(list_filter(spans, lambda p: p.s < w.s + len(w.v) AND w.s < p.e)) = 0
-), pairs AS (SELECT term, entity, sum(copies) AS n_te, count(*) AS texts FROM (SELECT DISTINCT text, copies, term, entity FROM near) GROUP BY ALL HAVING count(*) >= 2
-), n_e AS (SELECT entity, sum(copies) AS n_e FROM (SELECT DISTINCT text, copies, entity FROM ents) GROUP BY ALL
-), n_t AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{word}'))) AS term FROM docs) GROUP BY ALL
-), flagged AS (SELECT term, entity FROM (SELECT term, entity, CASE WHEN n > n_e THEN log2(n * n_te::DOUBLE / (n_t::DOUBLE * n_e)) / log2(n::DOUBLE / n_e) ELSE 0 END AS ratio
+), found AS (SELECT text, count(*) AS copies, CASE WHEN contains(text, '@') THEN {blotted} ELSE text END AS clear, {kinds} FROM docs GROUP BY text
+), base AS (SELECT text, copies, clear, email, ip, card, phone, list_concat(list_concat(email, ip), list_concat(card, phone)) AS spans FROM found
+), ents AS (SELECT DISTINCT text, copies, lower(x.v) AS entity FROM (SELECT text, copies, unnest(spans) AS x FROM base)
+), n_e AS (SELECT entity, sum(copies) AS n_e FROM ents GROUP BY ALL HAVING count(*) >= 2
+), words AS (SELECT DISTINCT text, copies, lower(w) AS term FROM (SELECT text, copies, unnest(regexp_extract_all(clear, '{word}')) AS w FROM base) WHERE NOT contains(w, {mark})
+), pairs AS (SELECT term, entity, sum(words.copies) AS n_te FROM words JOIN ents USING (text) JOIN n_e USING (entity) GROUP BY ALL HAVING count(*) >= 2
+), n_t AS (SELECT term, sum(copies) AS n_t FROM words GROUP BY ALL
+), flagged AS (SELECT DISTINCT term FROM (SELECT term, CASE WHEN n > n_e THEN log2(n * n_te::DOUBLE / (n_t::DOUBLE * n_e)) / log2(n::DOUBLE / n_e) ELSE 0 END AS ratio
     FROM pairs JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT count(*) AS n FROM docs)) WHERE ratio >= 0.8 - 1e-9
-), terms AS (SELECT text, string_agg('term:' || s || ':' || e, ',' ORDER BY s) AS terms FROM (SELECT DISTINCT text, s, e FROM near JOIN flagged USING (term, entity)) GROUP BY ALL
+), held AS (SELECT text, clear FROM base WHERE text IN (SELECT text FROM words JOIN flagged USING (term))
+), places AS (SELECT text, w.s AS s, CAST(w.s + len(w.v) AS INT) AS e, lower(w.v) AS term FROM (SELECT text, unnest({_positions('clear', word)}) AS w FROM held) WHERE NOT contains(w.v, {mark})
+), terms AS (SELECT text, string_agg('term:' || s || ':' || e, ',' ORDER BY s) AS terms FROM places JOIN flagged USING (term) GROUP BY ALL
 ), joined AS (SELECT text, len(email) AS n_email, len(ip) AS n_ip, len(card) AS n_card, len(phone) AS n_phone, array_to_string(list_transform(spans, lambda x: x.k || ':' || x.s || ':' || x.e), ',') AS plain FROM base)
 SELECT doc_id, n_email, n_ip, n_card, n_phone, sha256(plain) AS base_sha256, concat_ws(',', nullif(plain, ''), terms) AS spans FROM docs JOIN joined USING (text) LEFT JOIN terms USING (text)
 """
