@@ -10,15 +10,18 @@ brute force. The runs are repeated until a pair at the threshold meets with prob
 
 Buckets of near copies, or of much shared boilerplate, hardly fall apart by splitting, so each large bucket is peeled first: sets whose sketches
 may be linked to one of its pivots leave it, and every set that the triangle inequality lets be a partner of such a set is connected
-to the pivots. Only pivots with many sets around them are used, and each set gets one edge at most.
+to that pivot. Only pivots with many sets around them are used; a set gets an edge to each pivot that it meets, at most PIVOTS.
 
 Brute force compares sketches and yields a spanning forest of the pairs that may reach the threshold (five standard deviations of
-allowance), never the pairs themselves. The sets of each connected part are then brought together, large parts as pairs of blocks, and
-every pair is verified exactly by term-at-a-time counting of shared grams. Blocks return sums of links and spanning edges
-only, so rows stay linear in the documents while no link is lost.
-
-Null texts count as empty. Texts without words have the empty set and are copies of each other. Null ids are kept; repeated rows count as
-documents; an empty table gives no rows; further columns are ignored.
+allowance), never the pairs themselves. The sets of each connected part are then brought together and every pair is verified exactly, by
+differences: with D(X) = X xor P for any common set P, |A xor B| = |D(A)| + |D(B)| - 2 |D(A) and D(B)|, so only grams in which near copies
+*differ* are counted, term at a time. Texts are read and turned into grams once. A part too large for one task travels as its
+differences from one of its sets and is compared as pairs of blocks of about ``SPREAD`` * sqrt(n) of its n sets, so that both the
+copies of a row and the rows of a task grow with the root of n. Blocks return sums of links and spanning edges only; no link is lost.
+
+Null texts count as empty. Texts without words have the empty set and are copies of each other. Texts of any length are taken whole. Null ids
+are kept; repeated rows count as documents; ties go to the least id, then the least digest; an empty table gives no rows; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +37,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices, table, text_of
 from .components import components
 
-WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
+WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDS, SMALL, DEPTH = 64, 256, 4
 #: Pivots of a large bucket; a pivot counts if this share of the bucket may be linked to it.
 PIVOTS, SHARE = 4, 0.05
-BLOCK_GRAMS, BLOCK_DOCS = 400_000, 2000
+#: Grams of a block, least number of sets of a block, and sets of a block for the root of its part's sets.
+BLOCK_GRAMS, BLOCK_DOCS, SPREAD = 1_000_000, 512, 16
 
 _rng = np.random.default_rng(20240501)
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -92,13 +96,27 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(32)).astype("<u4")
 
 
+def least_alike(threshold: float) -> int:
+    """Coordinates in which the sketches of a pair at the threshold agree at least, but for five standard deviations."""
+    return max(1, math.floor(COORDS * threshold - 5 * math.sqrt(COORDS * threshold * (1 - threshold))))
+
+
+def missed(threshold: float, runs: int, depth: int = DEPTH) -> float:
+    """How likely a pair at the threshold meets in no run at the given depth, over all numbers of coordinates in which its sketches may agree."""
+    out = 0.0
+    for alike in range(COORDS + 1):
+        share = math.comb(COORDS, alike) * threshold**alike * (1 - threshold) ** (COORDS - alike)
+        meet = 1.0
+        for _ in range(depth):
+            miss = 1 - alike / COORDS * meet
+            meet = 1 - (0.75 * miss + 0.25 * miss**2)
+        out += share * ((1 - meet) ** runs if alike >= least_alike(threshold) else 1.0)
+    return out
+
+
 def runs_needed(threshold: float, recall: float, depth: int = DEPTH) -> int:
     """Runs until a pair at the threshold meets at the full depth at least once with the given probability."""
-    meet = 1.0
-    for _ in range(depth):
-        miss = 1 - threshold * meet
-        meet = 1 - (0.75 * miss + 0.25 * miss**2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    return next(r for r in range(1, 1000) if missed(threshold, r, depth) <= 1 - recall)
 
 
 def chosen(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,14 +279,16 @@ def _peeled(large: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame,
     names = ", ".join(f"d{k} int" for k in range(PIVOTS))
     measured = scratch.keep(joined.mapInArrow(run, f"bucket long, size long, digest binary, low binary, {names}"))
     around = measured.groupBy("bucket").agg(F.first("size").alias("_size"), *(F.count_if(F.col(f"d{k}") <= COORDS - least).alias(f"n{k}") for k in range(PIVOTS)))
-    good = around.join(pivots, "bucket")
     valid = {k: F.col(f"n{k}") >= F.greatest(F.lit(16), F.col("_size") * SHARE) for k in range(PIVOTS)}
-    good = scratch.keep(good.select("bucket", F.coalesce(*(F.when(valid[k], F.col(f"digest{k}")) for k in range(PIVOTS))).alias("centre"), *(valid[k].alias(f"v{k}") for k in range(PIVOTS))))
-    judged = measured.join(good, "bucket")
-    within = lambda most: F.greatest(*(F.col(f"v{k}") & (F.col(f"d{k}") <= most) for k in range(PIVOTS)))
-    edges = scratch.keep(judged.filter(within(2 * (COORDS - least))).select(F.col("digest").alias("u"), F.col("centre").alias("v")).distinct())
-    rest = scratch.keep(judged.filter(~within(COORDS - least)).select("bucket", "size", "digest", "low"))
-    scratch.drop(measured, pivots, good)
+    good = around.join(pivots, "bucket").select("bucket", *(F.when(valid[k], F.col(f"digest{k}")).alias(f"digest{k}") for k in range(PIVOTS)))
+    judged = scratch.keep(measured.join(good, "bucket"))
+    near = lambda k, most: F.col(f"digest{k}").isNotNull() & (F.col(f"d{k}") <= most)
+    met = F.array(*(F.when(near(k, 2 * (COORDS - least)), F.col(f"digest{k}")) for k in range(PIVOTS)))
+    edges = judged.select(F.col("digest").alias("u"), F.explode(F.array_distinct(F.array_compact(met))).alias("v")).filter("u != v")
+    edges = scratch.keep(edges.distinct())
+    gone = F.greatest(*(near(k, COORDS - least) for k in range(PIVOTS)))
+    rest = scratch.keep(judged.filter(~gone).select("bucket", "size", "digest", "low"))
+    scratch.drop(measured, pivots, judged)
     return edges, rest
 
 
@@ -279,58 +299,118 @@ def _paired_blocks(rows: DataFrame, blocks, block) -> DataFrame:
     return out.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).drop("_other", "_n")
 
 
-def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """digest, links, root for each group comp, i, j of rows (comp, i, j, own, digest, copies, text): exact Jaccard of all pairs in it."""
-    schema = pa.schema([("digest", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
+def _gram_rows(rows: DataFrame) -> DataFrame:
+    """rows (digest, comp, blocks, copies, text) with n and the grams of the text, as bytes, in its place."""
+    schema = pa.schema([("digest", pa.binary()), ("comp", pa.binary()), ("blocks", pa.int32()), ("copies", pa.int64()), ("n", pa.int32()), ("grams", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 512):
+                own = [grams(t) for t in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).cast(schema.field(k).type) for k in range(4)), pa.array(list(map(len, own)), pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], schema=schema)
 
-    def group(i, j, own, digests, copies, sets):
-        """Block i's sets against the postings of block j (the same, if i = j)."""
-        m = len(digests)
-        sizes = np.array(list(map(len, sets)), dtype=np.int64)
-        _, term = np.unique(np.concatenate(sets), return_inverse=True)
-        doc = np.repeat(np.arange(m), sizes)
-        held = np.flatnonzero(own[doc] == j)
-        order = held[np.argsort(term[held], kind="stable")]
-        postings, counts = doc[order], np.bincount(term[held], minlength=int(term.max(initial=0)) + 1)
-        begin, ends = np.cumsum(counts) - counts, np.cumsum(sizes)
-        near = np.zeros((m, m), dtype=bool)
-        for x in np.flatnonzero(own == i):
-            terms = term[ends[x] - sizes[x] : ends[x]]
-            lengths = counts[terms]
-            total = int(lengths.sum())
-            if total == (len(terms) if i == j else 0):
-                continue  # it shares nothing
-            where = np.repeat(begin[terms] - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
-            shared = np.bincount(postings[where], minlength=m)
-            near[x] = (shared > 0) & (shared * (1 + threshold) >= threshold * (sizes + sizes[x]) - 1e-9)
-            near[x, x] = False
+    return rows.mapInArrow(run, "digest binary, comp binary, blocks int, copies long, n int, grams binary")
+
+
+def _different(rows: DataFrame) -> DataFrame:
+    """rows (digest, comp, copies, n, grams) of large parts, with what their grams differ in from those of the part's own set: its symmetric difference."""
+    centre = rows.filter("digest = comp").select("comp", F.col("grams").alias("_centre"))
+    schema = pa.schema([("digest", pa.binary()), ("comp", pa.binary()), ("copies", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("apart", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 512):
+                apart = [np.setxor1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), assume_unique=True).tobytes() for x, y in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).cast(schema.field(k).type) for k in range(5)), pa.array(apart, pa.binary())], schema=schema)
+
+    joined = rows.join(centre.hint("merge"), "comp").select("digest", "comp", "copies", "n", "grams", "_centre")
+    return joined.mapInArrow(run, "digest binary, comp binary, copies long, n int, grams binary, apart binary")
+
+
+def _blocks(sets, sums):
+    """Blocks of a part of ``sets`` sets with ``sums`` grams."""
+    return F.greatest(F.ceil(sums / BLOCK_GRAMS), F.ceil(sets / F.greatest(F.lit(BLOCK_DOCS), SPREAD * F.sqrt(sets)))).cast("int")
+
+
+def compared(i: int, j: int, own: np.ndarray, sizes: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For block i's sets against those of block j (the same, if i = j): the links of each set, and the least set of its component here. own: block of each
+    set, sizes: of the whole sets, sets: the sets, or their symmetric differences from any common set."""
+    m = len(sets)
+    values, term = np.unique(np.concatenate(sets), return_inverse=True)
+    doc = np.repeat(np.arange(m), list(map(len, sets)))
+    # differences from the grams that most sets hold
+    common = np.bincount(term, minlength=len(values)) * 2 > m
+    number = np.cumsum(common) - 1
+    held = np.zeros((m, int(common.sum())), dtype=bool)
+    often = common[term]
+    held[doc[often], number[term[often]]] = True
+    lacks, which = np.nonzero(~held)
+    doc, term = np.concatenate([doc[~often], lacks]), np.concatenate([term[~often], np.flatnonzero(common)[which]])
+    apart = np.bincount(doc, minlength=m)
+    by_doc = np.argsort(doc, kind="stable")
+    terms, ends = term[by_doc], np.cumsum(apart)
+    # postings of block j
+    others = np.flatnonzero(own == j)
+    place = np.full(m, -1)
+    place[others] = np.arange(len(others))
+    posted = np.flatnonzero(own[doc] == j)
+    posted = posted[np.argsort(term[posted], kind="stable")]
+    postings, counts = place[doc[posted]], np.bincount(term[posted], minlength=len(values))
+    begin = np.cumsum(counts) - counts
+    links, label = np.zeros(m, dtype=np.int64), np.arange(m)
+    most = (1 - threshold) * sizes[others] - (1 + threshold) * apart[others] + 1e-9
+    for x in np.flatnonzero(own == i):
+        mine = terms[ends[x] - apart[x] : ends[x]]
+        lengths = counts[mine]
+        total = int(lengths.sum())
+        room = most + ((1 - threshold) * sizes[x] - (1 + threshold) * apart[x])
+        if total:
+            where = np.repeat(begin[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
+            room += 2 * (1 + threshold) * np.bincount(postings[where], minlength=len(others))
+        near = room >= 0
+        if i == j:
+            near[place[x]] = False
+        near = others[near]
+        if not len(near):
+            continue
+        links[x] += copies[near].sum()
         if i != j:
-            near |= near.T
-        root, links = forest(near), near @ copies
-        some = np.flatnonzero(near.any(axis=1))
-        return [digests[x] for x in some], links[some].tolist(), [digests[root[x]] for x in some]
+            links[near] += copies[x]
+        met = label[near]
+        if (met != label[x]).any():
+            met = np.unique(np.append(met, label[x]))
+            label[np.isin(label, met)] = met[0]
+    return links, label
+
+
+def _verified(rows: DataFrame, threshold: float) -> DataFrame:
+    """digest, links, root for each group comp, i, j of rows (comp, i, j, _own, digest, copies, n, grams): exact Jaccard of all pairs in it."""
+    schema = pa.schema([("digest", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def run(batches):
         held = None
 
         def close():
-            (_, i, j), own, digests, copies, sets = held
-            out = group(i, j, np.array(own), digests, np.array(copies, dtype=np.int64), sets) if len(digests) > 1 else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], schema=schema)
+            (_, i, j), own, digests, copies, sizes, sets = held
+            if len(digests) < 2:
+                return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+            links, label = compared(i, j, np.array(own), np.array(sizes, dtype=np.int64), np.array(copies, dtype=np.int64), sets, threshold)
+            some = np.flatnonzero(links)
+            return pa.RecordBatch.from_arrays([pa.array([digests[x] for x in some], pa.binary()), pa.array(links[some]), pa.array([digests[label[x]] for x in some], pa.binary())], schema=schema)
 
         for batch in batches:
             for part in slices(batch, 1024):
-                for comp, i, j, own, digest, copies, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for comp, i, j, own, digest, copies, n, own_grams in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if held is None or held[0] != (comp, i, j):
                         if held is not None:
                             yield close()
-                        held = ((comp, i, j), [], [], [], [])
-                    for x, value in zip(held[1:], (own, digest, copies, grams(text)), strict=True):
+                        held = ((comp, i, j), [], [], [], [], [])
+                    for x, value in zip(held[1:], (own, digest, copies, n, np.frombuffer(own_grams, dtype=np.uint64)), strict=True):
                         x.append(value)
         if held is not None:
             yield close()
 
-    dealt = rows.select("comp", "i", "j", F.col("_own").alias("own"), "digest", "copies", "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    dealt = rows.select("comp", "i", "j", F.col("_own").alias("own"), "digest", "copies", "n", "grams").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     return dealt.mapInArrow(run, "digest binary, links long, root binary")
 
 
@@ -344,7 +424,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     rows = scratch.keep(_set_rows(docs))
     # a class's text is that of its least (doc_id, text digest)
     sets = scratch.keep(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "tkey")).alias("of"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    least = max(1, math.floor(COORDS * threshold - 5 * math.sqrt(COORDS * threshold * (1 - threshold))))
+    least = least_alike(threshold)
     buckets, edges = _roots(sets.filter("n > 0"), runs_needed(threshold, recall)), []
     for depth in range(1, DEPTH + 1):
         sizes = scratch.keep(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
@@ -371,14 +451,22 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     parts = scratch.keep(components(found, scratch).select(F.col("node").alias("digest"), F.col("root").alias("comp")))
     scratch.drop(*edges)
     members = scratch.keep(parts.join(sets.select("digest", "of", "copies", "n"), "digest"))
-    bulk = scratch.keep(members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks")))
+    bulk = scratch.keep(members.groupBy("comp").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks")))
     wanted = scratch.keep(members.join(bulk, "comp").select("digest", "comp", "blocks", "copies", F.col("of.doc_id").alias("doc_id"), F.col("of.tkey").alias("tkey")))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.unhex(F.md5(F.encode(text_of(), "UTF-8"))).alias("tkey"), text_of().alias("text"))
     # neither side has a bound, so none is broadcast, however small it looks
     with_text = wanted.hint("merge").join(texts, (wanted.tkey == texts.tkey) & wanted.doc_id.eqNullSafe(texts._id)).select("digest", "comp", "blocks", "copies", "text").dropDuplicates(["digest"])
-    blocked = _paired_blocks(with_text, F.col("blocks"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    checked = scratch.keep(_verified(blocked, threshold))
-    scratch.drop(wanted, members, bulk, parts)
+    sets_of = scratch.keep(_gram_rows(with_text))
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    whole = sets_of.filter("blocks = 1").select("comp", "digest", "copies", "n", "grams", "blocks")
+    apart = scratch.keep(_different(sets_of.filter("blocks > 1").select("digest", "comp", "copies", "n", "grams")))
+    # parts whose sets have little in common travel as they are
+    size = lambda c: F.sum(F.octet_length(c) / 8)
+    spread = apart.groupBy("comp").agg((size("apart") < size("grams")).alias("_apart"), _blocks(F.count(F.lit(1)), F.least(size("apart"), size("grams"))).alias("blocks"))
+    spread = scratch.keep(spread)
+    differ = apart.join(spread.hint("merge"), "comp").select("comp", "digest", "copies", "n", F.when(F.col("_apart"), F.col("apart")).otherwise(F.col("grams")).alias("grams"), "blocks")
+    checked = scratch.keep(_verified(_paired_blocks(whole.unionByName(differ), F.col("blocks"), block), threshold))
+    scratch.drop(wanted, members, bulk, parts, sets_of, apart, spread)
     links = checked.groupBy("digest").agg(F.sum("links").alias("links"))
     joined = scratch.keep(components(checked.select(F.col("digest").alias("u"), F.col("root").alias("v")), scratch))
     roots = sets.select("digest", "rep_id", "copies").join(joined.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
