@@ -102,7 +102,9 @@ def copies(n=260):
 @pytest.mark.parametrize("small", [256, 24])
 def test_ngram_join(spark, monkeypatch, small):
     monkeypatch.setattr(ngram_join, "SMALL", small)
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2000 if small == 256 else 100)
+    if small == 24:  # several blocks for a part
+        monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 20)
+        monkeypatch.setattr(ngram_join, "SPREAD", 4)
     texts = copies()
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.linked(frame(spark, texts)).collect()}
     assert got == brute_links(texts)
@@ -125,6 +127,61 @@ def test_grams_and_runs():
     a, b = ngram_join.grams("a b c d e f"), ngram_join.grams("A  b\nc d e")
     assert len(a) == 2 and len(b) == 1 and b[0] in a and len(ngram_join.grams(None)) == 0 and len(ngram_join.grams("x " * 100_000)) == 1
     assert ngram_join.runs_needed(0.8, 0.9999) > ngram_join.runs_needed(0.8, 0.99)
+    assert ngram_join.missed(0.8, ngram_join.runs_needed(0.8, 0.999)) <= 1e-3 and ngram_join.missed(0.8, 11, 1) < 1e-5
+
+
+def test_compared_by_differences():
+    rng = np.random.default_rng(6)
+    for case in range(60):
+        base = rng.integers(0, 2**63, 40).astype(np.uint64)
+        sets = []
+        for _ in range(int(rng.integers(2, 40))):
+            own = base[rng.random(40) > rng.choice([0.02, 0.1, 0.6])]
+            sets.append(np.unique(np.append(own, rng.integers(0, 2**63 if case % 2 else 30, int(rng.integers(1, 6))).astype(np.uint64))))
+        m, blocks = len(sets), int(rng.integers(1, 4))
+        own, copies, sizes = rng.integers(0, blocks, m), rng.integers(1, 5, m), np.array(list(map(len, sets)))
+        sent = [np.setxor1d(x, sets[0]) for x in sets] if case % 3 else sets
+        links, root = np.zeros(m, dtype=int), list(range(m))
+        for i in range(blocks):
+            for j in range(i, blocks):
+                some = np.flatnonzero((own == i) | (own == j))
+                if len(some) > 1:
+                    n, label = ngram_join.compared(i, j, own[some], sizes[some], copies[some], [sent[k] for k in some], 0.8)
+                    links[some] += n
+                    for k, x in zip(some, label, strict=True):
+                        a, b = root[k], root[some[x]]
+                        root = [min(a, b) if r in (a, b) else r for r in root]
+        near = [[a != b and 10 * len(np.intersect1d(sets[a], sets[b])) >= 8 * len(np.union1d(sets[a], sets[b])) for b in range(m)] for a in range(m)]
+        assert links.tolist() == [sum(int(copies[b]) for b in range(m) if near[a][b]) for a in range(m)]
+        want = list(range(m))
+        for a in range(m):
+            for b in range(a):
+                if near[a][b]:
+                    x, y = want[a], want[b]
+                    want = [min(x, y) if r in (x, y) else r for r in want]
+        assert root == want
+
+
+def test_rows_sent_for_a_large_part(spark, monkeypatch):
+    """One part of n near copies, all with different sets: the rows that verification sends."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 50)
+    sent = {}
+    real = ngram_join._verified
+    for n in (400, 1600):
+        rng = random.Random(n)
+        base = [f"w{k}" for k in range(120)]
+        texts = [" ".join([*base[: (p := rng.randrange(110))], f"x{i}", *base[p + 1 :]]) for i in range(n)]
+
+        def counted(rows, threshold, n=n):
+            kept = rows.cache()
+            sent[n] = (kept.count(), kept.selectExpr("sum(octet_length(grams))").first()[0])
+            return real(kept, threshold)
+
+        monkeypatch.setattr(ngram_join, "_verified", counted)
+        got = ngram_join.linked(frame(spark, texts)).collect()
+        assert len({r.class_id for r in got}) == 1 and min(r.n_links for r in got) == n - 1
+    assert sent[1600][0] <= 2.1 * 4 * sent[400][0], sent  # the root of four, beside four
+    assert sent[400][1] < 400 * 120 * 8 * 0.5, sent  # differences, not texts
 
 
 def test_components(spark):
