@@ -16,7 +16,7 @@ Of the base kinds only addresses hold letters, so terms are looked up where addr
 out of texts (MARK; a word that stands beside one in a text counts as touched). Offsets are running sums in blocks of fixed size, so
 that a text with any number of matches takes time in proportion to it.
 
-Words are thinned by a table of ``BITS`` bits of the wanted terms' hashes before they are counted or joined; joins decide.
+The ``FREQUENT`` most frequent terms that aren't flagged are left out by name before texts are joined with the flagged ones.
 
 Copies of a text are counted by their number but handled once. Null texts count as empty; empty texts have no spans; null or repeated ids
 keep their rows; an empty table gives no rows; further columns do not matter to :func:`find_pii` and are passed through by :func:`redact`.
@@ -40,7 +40,7 @@ PATTERNS = {
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: A character of every match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-MIN_TERM, MARK, BITS, BLOCK = 3, "\ufdd0", 1 << 16, 256
+MIN_TERM, MARK, FREQUENT, BLOCK = 3, "\ufdd0", 2000, 256
 WORD = rf"[\p{{L}}\x{{FDD0}}]{{{MIN_TERM},}}"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 TERMS = "array<struct<start:int,end:int,action:string>>"
@@ -82,7 +82,7 @@ def running(values: Column, merge) -> Column:
     return _held(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
 
 
-def positions(text: Column, pattern: str) -> Column:
+def positions(text: Column, pattern: str | Column) -> Column:
     """Spans of all matches: running sums over the gaps between them and the matches themselves."""
 
     def placed(found):
@@ -121,20 +121,6 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: ~F.contains(w, F.lit(MARK))), F.lower))
 
 
-def _bits(terms: DataFrame):
-    """A test that all of ``terms`` (column term) pass and few others; its table has BITS bits, whatever the number of terms."""
-    place = lambda t: F.pmod(F.xxhash64(t), F.lit(BITS))
-    h = place(F.col("term"))
-    rows = terms.select(F.floor(h / 64).cast("int").alias("k"), F.expr("1L").alias("one"), (h % 64).cast("int").alias("b")).groupBy("k").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits")).collect()  # at most BITS / 64 rows
-    table_ = dict((r.k, r.bits) for r in rows)
-    bits = F.split(F.lit(",".join(str(table_.get(k, 0)) for k in range(BITS // 64))), ",").cast("array<bigint>")
-
-    def test(word: Column) -> Column:
-        return _held(place(word), lambda x: F.call_function("shiftright", F.get(bits, F.floor(x / 64).cast("int")), (x % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-
-    return test
-
-
 def _digest() -> Column:
     return F.unhex(F.md5(F.encode(text_of(), "UTF-8")))
 
@@ -146,8 +132,9 @@ def _found(docs: DataFrame) -> DataFrame:
     return out.withColumn("_terms", F.when(F.size("_entities") > 0, terms_of(text_of())))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise: float, remove: float, support: int) -> DataFrame | None:
-    """term, action for the terms that disclose an entity; None if no term is with an entity in enough texts. found: _digest, _entities, _terms of docs."""
+def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise: float, remove: float, support: int) -> tuple[DataFrame, DataFrame] | None:
+    """term, action for the terms that disclose an entity, and term, n_t of all terms; None if no term is with an entity in enough texts.
+    found: _digest, _entities, _terms of docs."""
     hits = found.filter(F.size("_entities") > 0).groupBy("_digest").agg(F.first("_entities").alias("entities"), F.first("_terms").alias("terms"), F.count(F.lit(1)).alias("copies"))
     hits = scratch.keep(hits)
     held = hits.select("_digest", "copies", F.explode("entities").alias("entity"))
@@ -160,36 +147,58 @@ def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise:
     pairs = scratch.keep(both.groupBy("term", "entity").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts"))
     if pairs.isEmpty():
         return None
-    n_t = docs.select(F.explode(F.filter(terms_of(text_of()), _bits(pairs))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = scratch.keep(docs.select(F.explode(terms_of(text_of())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     n = F.lit(float(found.count()))
     ic = F.log2(n / F.col("n_e"))
     pmi = F.log2(n * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     scored = pairs.join(n_e, "entity").join(n_t, "term").withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(0.0))
     action = F.when(F.max("ratio") >= remove - 1e-9, "removed").otherwise("generalised")
-    return scratch.keep(scored.filter(F.col("ratio") >= generalise - 1e-9).groupBy("term").agg(action.alias("action")))
+    flagged = scratch.keep(scored.filter(F.col("ratio") >= generalise - 1e-9).groupBy("term").agg(action.alias("action")))
+    return None if flagged.isEmpty() else (flagged, n_t)
+
 
+def holding(docs: DataFrame, flagged: DataFrame, n_t: DataFrame, scratch: Scratch) -> DataFrame:
+    """_digest, flagged (map of term to action) for all texts that hold a flagged term."""
+    others = n_t.join(flagged, "term", "left_anti").orderBy(F.desc("n_t"), "term").limit(FREQUENT).collect()
+    words = docs.select(_digest().alias("_digest"), F.explode(terms_of(text_of())).alias("term")).filter(~F.col("term").isin([r.term for r in others]))
+    held = words.join(flagged, "term").groupBy("_digest").agg(F.collect_set(F.struct("term", "action")).alias("held"))
+    return scratch.keep(held.select("_digest", F.map_from_entries("held").alias("flagged")))
 
-def occurrences(docs: DataFrame, flagged: DataFrame, scratch: Scratch) -> DataFrame:
-    """_digest, terms (where flagged terms stand: array<struct<start, end, action>>, in order) for all texts that hold some."""
-    test = _bits(flagged)
-    words = F.filter(positions(blotted(text_of()), WORD), lambda w: ~F.contains(w["value"], F.lit(MARK)) & test(F.lower(w["value"])))
-    found = docs.select(_digest().alias("_digest"), F.explode(words).alias("w")).select("_digest", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.value").alias("term"))
-    places = found.join(flagged, "term").groupBy("_digest").agg(F.collect_set(F.struct("start", "end", "action")).alias("terms"))
-    return scratch.keep(places.select("_digest", F.array_sort("terms").alias("terms")))
 
+def term_spans(text: Column, flagged: Column) -> Column:
+    """Where flagged terms (map of term to action) stand: array<struct<start, end, action>>."""
 
-def _spans_and_terms(docs: DataFrame, columns: list[str], scratch: Scratch, generalise: float, remove: float, support: int) -> DataFrame:
-    """``columns`` of docs and of what :func:`_found` adds, and the places of disclosing terms. Base patterns run once over each text."""
+    def placed(clear):
+        # the terms as this text writes them; letters need no quotes in a pattern
+        forms = F.filter(F.array_distinct(F.regexp_extract_all(clear, F.lit(WORD), F.lit(0))), lambda w: F.element_at(flagged, F.lower(w)).isNotNull())
+        pattern = F.concat(F.lit(r"(?<![\p{L}\x{FDD0}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\x{FDD0}])"))
+        found = _held(pattern, lambda p: positions(clear, p))
+        return F.transform(found, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at(flagged, F.lower(w["value"])).alias("action")))
+
+    return _held(blotted(text), placed)
+
+
+def _spans(docs: DataFrame, columns: list[str], scratch: Scratch, generalise: float, remove: float, support: int) -> tuple[DataFrame, DataFrame | None]:
+    """``columns`` of docs and of what :func:`_found` adds, with _digest; and :func:`holding`, if there are flagged terms. Base patterns run once over each text."""
     found = scratch.keep(_found(docs).select(*columns, "_digest", "_entities", "_terms"))
     flagged = disclosing(docs, found, scratch, generalise, remove, support)
-    if flagged is None or flagged.isEmpty():
-        return found.withColumn("terms", F.array().cast(TERMS))
-    return found.join(occurrences(docs, flagged, scratch), "_digest", "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
+    return found, flagged and holding(docs, *flagged, scratch)
+
+
+def _no_terms() -> Column:
+    return F.array().cast(TERMS)
 
 
 def find_pii(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
     """A row for each row of docs (doc_id, text): counts of the base kinds, the digest of the base spans, and all spans."""
-    rows = _spans_and_terms(docs.select("doc_id", "text"), ["doc_id", *(f"_{k}" for k in KINDS)], Scratch(docs.sparkSession, "pii"), generalise, remove, support)
+    docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession, "pii")
+    rows, held = _spans(docs, ["doc_id", *(f"_{k}" for k in KINDS)], scratch, generalise, remove, support)
+    if held is None:
+        rows = rows.withColumn("terms", _no_terms())
+    else:
+        texts = docs.select(_digest().alias("_digest"), text_of().alias("text")).join(held, "_digest")
+        terms = scratch.keep(texts.select("_digest", term_spans(F.col("text"), F.col("flagged")).alias("terms")).groupBy("_digest").agg(F.first("terms").alias("terms")))
+        rows = rows.join(terms, "_digest", "left").withColumn("terms", F.coalesce("terms", _no_terms()))
     base = F.concat(*(_joined(k, F.col(f"_{k}")) for k in KINDS))
     return rows.select("doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), base.alias("_base"), _joined("term", F.col("terms")).alias("_more")).select(
         "doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.array_join("_base", ","), 256).alias("base_sha256"), F.array_join(F.concat("_base", "_more"), ",").alias("spans")
@@ -220,7 +229,11 @@ def redact(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, suppo
     """
     # the input's columns travel in one struct, so that no name of theirs can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").cast("string").alias("text"))
-    found = _spans_and_terms(rows, ["_row", "text", *(f"_{k}" for k in KINDS)], Scratch(docs.sparkSession, "redact"), generalise, remove, support)
+    found, held = _spans(rows, ["_row", "text", *(f"_{k}" for k in KINDS)], Scratch(docs.sparkSession, "redact"), generalise, remove, support)
+    if held is None:
+        found = found.withColumn("terms", _no_terms())
+    else:
+        found = found.join(held, "_digest", "left").withColumn("terms", F.when(F.col("flagged").isNotNull(), term_spans(text_of(), F.col("flagged"))).otherwise(_no_terms()))
 
     def tag(kind):
         return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("by"))
@@ -228,9 +241,9 @@ def redact(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, suppo
     tagged = [F.transform(F.col(f"_{k}"), tag(k)) for k in KINDS]
     more = F.transform(F.col("terms"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "removed", "[REMOVED]").otherwise("[TERM]").alias("by")))
     spans = F.array_sort(F.concat(*tagged, more))
-    text = replaced_spans(F.col("text"), spans)
-    touched = F.size(F.concat(*(F.transform(F.col(f"_{k}"), lambda x: x["start"]) for k in KINDS), F.transform("terms", lambda x: x["start"]))) > 0
-    done = found.select("_row", F.when(touched, text).otherwise(F.col("text")).alias("_new"), touched.alias("_touched"))
+    text = replaced_spans(F.col("text"), F.col("_spans"))
+    touched = F.size("_spans") > 0
+    done = found.select("_row", "text", spans.alias("_spans")).select("_row", F.when(touched, text).otherwise(F.col("text")).alias("_new"), touched.alias("_touched"))
     return done.select(*(F.when(F.col("_touched"), new).otherwise(F.col("_row")[c]).alias(c) for c, new in zip(docs.columns, replaced(docs, F.col("_new")), strict=True)))
 
 
