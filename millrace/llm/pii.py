@@ -196,8 +196,9 @@ def find_pii(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, sup
     if held is None:
         rows = rows.withColumn("terms", _no_terms())
     else:
-        texts = docs.select(_digest().alias("_digest"), text_of().alias("text")).join(held, "_digest")
-        terms = scratch.keep(texts.select("_digest", term_spans(F.col("text"), F.col("flagged")).alias("terms")).groupBy("_digest").agg(F.first("terms").alias("terms")))
+        # one row a text before the join, so that copies don't meet there
+        texts = docs.select(_digest().alias("_digest"), text_of().alias("text")).dropDuplicates(["_digest"]).join(held.hint("merge"), "_digest")
+        terms = scratch.keep(texts.select("_digest", term_spans(F.col("text"), F.col("flagged")).alias("terms")))
         rows = rows.join(terms, "_digest", "left").withColumn("terms", F.coalesce("terms", _no_terms()))
     base = F.concat(*(_joined(k, F.col(f"_{k}")) for k in KINDS))
     return rows.select("doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), base.alias("_base"), _joined("term", F.col("terms")).alias("_more")).select(
