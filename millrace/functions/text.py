@@ -60,8 +60,11 @@ def shape_pattern(shape: Column) -> Column:
 
 
 def _accents() -> tuple[str, str]:
-    pairs = [(chr(cp), unicodedata.normalize("NFKD", chr(cp))[0]) for cp in range(0xC0, 0x180)]
-    pairs = [(a, b) for a, b in pairs if b.isascii()] + [("–", "-"), ("—", "-"), ("’", "'"), ("ø", "o"), ("Ø", "O"), ("ł", "l"), ("Ł", "L")]
+    # Latin letters with marks, and full-width forms, by their decomposition; dashes and quotes by their blocks
+    cps = (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F))
+    pairs = [(chr(cp), unicodedata.normalize("NFKD", chr(cp))[0]) for cp in cps]
+    pairs = [(a, b) for a, b in pairs if b.isascii()] + [(chr(cp), "-") for cp in range(0x2010, 0x2016)] + [(chr(cp), "'") for cp in range(0x2018, 0x201C)] + [(chr(cp), '"') for cp in range(0x201C, 0x2020)]
+    pairs += [("ø", "o"), ("Ø", "O"), ("ł", "l"), ("Ł", "L"), ("đ", "d"), ("Đ", "D"), ("ı", "i"), ("ħ", "h"), ("Ħ", "H"), ("\u00a0", " ")]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -51,12 +51,21 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string to a stretch of the longer one, at the stretches that matching blocks suggest."""
+    """The best ratio of the shorter string to a stretch of the longer one of its length, or a shorter one at either end."""
     short, long_ = sorted((a, b), key=len)
-    if not short:
+    n = len(short)
+    if not n:
         return 0.0
-    starts = {max(0, m.b - m.a) for m in SequenceMatcher(None, short, long_, autojunk=False).get_matching_blocks()}
-    return max(ratio(short, long_[s : s + len(short)]) for s in starts)
+    return max(ratio(short, long_[max(0, s) : s + n]) for s in range(1 - n, len(long_)))
+
+
+def may_reach(a: str, b: str, least: float) -> bool:
+    """Whether ``similarity`` can reach ``least``: with c letters in common no ratio is above that of the shorter string to a stretch of c letters."""
+    short, long_ = sorted((a, b), key=len)
+    if {*a.split()} & {*b.split()}:
+        return True  # a shared word may count fully
+    common = sum((Counter(short) & Counter(long_)).values())
+    return bool(short) and 200.0 * common / (len(short) + common) >= least
 
 
 def similarity(a: str, b: str) -> float:
@@ -86,8 +95,8 @@ def _resolver(seed: list[tuple[str, str, str]], least: float):
             if canonical is None and r.token:
                 canonical, how = next((c for c, _, i in known if i == r.token), None), "initials"
             if canonical is None and known:
-                best = max(range(len(known)), key=lambda k: (similarity(r.key, known[k][1]), -k))
-                canonical, how = (known[best][0], "similar") if similarity(r.key, known[best][1]) >= least else (None, "")
+                score, best = max((similarity(r.key, key) if may_reach(r.key, key, least) else 0.0, -k) for k, (_, key, _) in enumerate(known))
+                canonical, how = (known[-best][0], "similar") if score >= least else (None, "")
             if canonical is None:
                 canonical, how = r.minted, "new"
                 if all(c != canonical for c, _, _ in known):

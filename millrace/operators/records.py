@@ -92,57 +92,93 @@ def continuation(words: DataFrame, bands: DataFrame) -> DataFrame:
     return at.join(start_bands, ["doc_id", "start_page"]).withColumn("ord", F.struct(*_ORDER))
 
 
-def depths(cont: DataFrame) -> DataFrame:
-    """doc_id, record_seq, depth: of the first continuation line that begins with a marker."""
-    marked = cont.filter((F.col("pos") == 0) & F.col("text").rlike(DEPTH_MARKER))
-    return marked.groupBy(*RECORD).agg(F.min_by(F.regexp_extract("text", DEPTH_MARKER, 1).cast("int"), "ord").alias("depth"))
+def _is_depth():
+    return (F.col("pos") == 0) & F.col("text").rlike(DEPTH_MARKER)
 
 
-def parents(records: DataFrame) -> DataFrame:
-    """records (doc_id, record_seq, internal_part, depth) with parent: the part of the nearest earlier record that is shallower.
+def _is_quantity():
+    return F.col("text").rlike(QUANTITY_SHAPE) & F.coalesce(_in("quantity"), F.lit(True))
 
-    Depth is below 100, so for each depth the latest such record is one running aggregate, kept in a map; no self-join and no
-    collected prefix.
-    """
-    order = Window.partitionBy("doc_id").orderBy("record_seq").rowsBetween(Window.unboundedPreceding, -1)
-    latest = [F.max(F.when(F.col("depth") == k, F.struct("record_seq", "internal_part"))).over(order) for k in range(MAX_DEPTH)]
-    seen = records.agg(F.max("depth")).first()[0]  # bounded by the marker's two digits
-    above = [F.when(F.col("depth") > k, latest[k]) for k in range(min(MAX_DEPTH, seen or 0))]
-    none = F.lit(None).cast("struct<record_seq:int,internal_part:string>")
-    best = F.greatest(*above) if len(above) > 1 else above[0] if above else none
-    return records.withColumn("parent", best["internal_part"])
+
+def _is_unit():
+    return F.col("text").isin(*UNITS) & F.coalesce(_in("uom"), F.lit(True))
+
+
+def _is_commodity():
+    return F.col("text").rlike(rf"^\p{{Lu}}{{{MIN_COMMODITY},}}$") & F.coalesce(_in("commodity"), F.lit(False))
+
+
+def _is_described():
+    return ~F.col("text").rlike(QUANTITY_SHAPE) & ~F.col("text").rlike(DATE_SHAPE)
+
+
+def _facts() -> dict:
+    """What a record's continuation words say, each as one aggregate: a test of the words, and a function of the order of those that pass."""
+    return {
+        "description": (_is_described(), _described),
+        "quantity": (_is_quantity(), lambda o: F.min_by(F.col("text").try_cast("double"), o)),
+        "uom": (_is_unit(), lambda o: F.min_by("text", F.when(o.isNotNull(), F.struct((F.length("text") == 1).alias("single"), o.alias("ord"))))),
+        "commodity": (_is_commodity(), lambda o: F.min_by("text", F.when(o.isNotNull(), F.struct((-F.col("x1")).alias("right"), o.alias("ord"))))),
+        "depth": (_is_depth(), lambda o: F.min_by(F.regexp_extract("text", DEPTH_MARKER, 1).cast("int"), o)),
+    }
+
+
+def _described(ord_):
+    """The words in order, from the first that is no depth marker."""
+    words = F.transform(F.array_sort(F.collect_list(F.when(ord_.isNotNull(), F.struct(ord_.alias("ord"), "text")))), lambda x: x["text"])
+    begun = F.array_position(F.transform(words, lambda w: ~w.rlike(DEPTH_MARKER)), True).cast("int")
+    return F.when(begun > 0, F.trim(F.array_join(F.slice(words, F.greatest(begun, F.lit(1)), F.size(words)), " ")))
+
+
+def _fact(cont: DataFrame, name: str) -> DataFrame:
+    test, use = _facts()[name]
+    return cont.filter(test).groupBy(*RECORD).agg(use(F.col("ord")).alias(name)).filter(F.col(name).isNotNull())
+
+
+def facts(cont: DataFrame) -> DataFrame:
+    """doc_id, record_seq, description, quantity, uom, commodity, depth: all from one grouping."""
+    return cont.groupBy(*RECORD).agg(*(use(F.when(test, F.col("ord"))).alias(name) for name, (test, use) in _facts().items()))
+
+
+def depths(cont: DataFrame) -> DataFrame:
+    """doc_id, record_seq, depth: of the first continuation line that begins with a marker."""
+    return _fact(cont, "depth")
 
 
 def descriptions(cont: DataFrame) -> DataFrame:
     """doc_id, record_seq, description: all words but quantities, dates and leading depth markers."""
-    kept = cont.filter(~F.col("text").rlike(QUANTITY_SHAPE) & ~F.col("text").rlike(DATE_SHAPE))
-    order = Window.partitionBy(*RECORD).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.max((~F.col("text").rlike(DEPTH_MARKER)).cast("int")).over(order) == 1
-    rows = kept.withColumn("begun", begun).filter("begun")
-    return rows.groupBy(*RECORD).agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")).alias("description"))
+    return _fact(cont, "description")
 
 
 def quantities(cont: DataFrame) -> DataFrame:
-    some = cont.filter(F.col("text").rlike(QUANTITY_SHAPE) & F.coalesce(_in("quantity"), F.lit(True)))
-    return some.groupBy(*RECORD).agg(F.min_by(F.col("text").try_cast("double"), "ord").alias("quantity"))
+    return _fact(cont, "quantity")
 
 
 def units(cont: DataFrame) -> DataFrame:
-    some = cont.filter(F.col("text").isin(*UNITS) & F.coalesce(_in("uom"), F.lit(True)))
-    return some.groupBy(*RECORD).agg(F.min_by("text", F.struct((F.length("text") == 1).alias("single"), "ord")).alias("uom"))
+    return _fact(cont, "uom")
 
 
 def commodities(cont: DataFrame) -> DataFrame:
-    some = cont.filter(F.col("text").rlike(rf"^\p{{Lu}}{{{MIN_COMMODITY},}}$") & F.coalesce(_in("commodity"), F.lit(False)))
-    return some.groupBy(*RECORD).agg(F.min_by("text", F.struct((-F.col("x1")).alias("right"), "ord")).alias("commodity"))
+    return _fact(cont, "commodity")
+
+
+def parents(records: DataFrame) -> DataFrame:
+    """records (doc_id, record_seq, internal_part, depth) with parent: the part of the nearest earlier record that is shallower.
+
+    Depth is below 100, so for each depth the latest such record is one running aggregate; no self-join and no collected prefix.
+    """
+    order = Window.partitionBy("doc_id").orderBy("record_seq").rowsBetween(Window.unboundedPreceding, -1)
+    latest = [F.max(F.when(F.col("depth") == k, F.struct("record_seq", "internal_part"))).over(order) for k in range(MAX_DEPTH)]
+    seen = records.agg(F.max("depth")).first()[0]  # bounded by the marker's two digits
+    above = [F.when(F.col("depth") > k, latest[k]) for k in range(min(MAX_DEPTH, seen or 0))]
+    none = F.lit(None).cast("struct<record_seq:int,internal_part:string>")
+    best = F.greatest(*above) if len(above) > 1 else above[0] if above else none
+    return records.withColumn("parent", best["internal_part"])
 
 
 def records(words: DataFrame, bands: DataFrame, keep=lambda df: df) -> DataFrame:
     """doc_id, record_seq, internal_part, description, quantity, uom, commodity, depth, parent, page, line_y. ``keep`` may store a table that is read several times."""
-    cont = keep(continuation(words, bands))
-    out = starts(words)
-    for part in (descriptions(cont), quantities(cont), units(cont), commodities(cont), depths(cont)):
-        out = out.join(part, RECORD, "left")
+    out = starts(words).join(facts(continuation(words, bands)), RECORD, "left")
     out = out.withColumns({"depth": F.coalesce("depth", F.lit(0)), "description": F.coalesce("description", F.lit(""))})
     return parents(keep(out)).select(*RECORD, "internal_part", "description", "quantity", "uom", "commodity", "depth", "parent", "page", "line_y")
 

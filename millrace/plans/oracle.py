@@ -6,8 +6,8 @@ _RENDER = r"""
 part_lines AS (
   SELECT k, p_name, p_brand, p_type, p_size, r, slot, printf('doc%02d', d) AS doc_id,
     CAST((r * 5 + slot) // 37 AS INT) AS page, CAST((r * 5 + slot) % 37 AS INT) AS line
-  FROM (SELECT p_partkey AS k, p_name, p_brand, p_type, p_size, p_partkey % 20 AS d,
-          row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) - 1 AS r FROM part),
+  FROM (SELECT p_partkey AS k, p_name, p_brand, p_type, p_size, p_partkey % docs AS d,
+          row_number() OVER (PARTITION BY p_partkey % docs ORDER BY p_partkey) - 1 AS r FROM part, (SELECT greatest(20, count(*) // 100) AS docs FROM part)),
        (SELECT unnest(range(5)) AS slot)
 ), pages AS (
   SELECT DISTINCT doc_id, page, 540.0::DOUBLE AS width, 560.0::DOUBLE AS height FROM part_lines
@@ -222,8 +222,8 @@ wide AS (
 
 _TOKENS = r"""
 score_tokens AS (
-  SELECT p_partkey AS seq, coalesce((['4/18/2024', '2024-04-18', '1.000000', '', '  ', '1010 X 36', 'DMP 331-110-P001-4-5-TAO-', '763020.0220', 'flying', 'AB,CD', 'A,B;C', 'X9Z', '60"', '24-inch lead, 2meter', '  abCD  '])[p_partkey % 20 + 1],
-    CASE p_partkey % 20 WHEN 15 THEN 'LB' || lpad(p_partkey::VARCHAR, 6, '0') WHEN 16 THEN '596-' || p_partkey WHEN 17 THEN 'bad token, ' || p_partkey WHEN 18 THEN p_name || '?' ELSE replace(p_brand, '#', '-') END) AS token FROM part
+  SELECT p_partkey AS seq, coalesce((['12/5/2019', '1998-1-30', '37.5000', '', '   ', '88 K 140', 'TRV 90-Q-7-B-20-2-PLC-', '410077.3105', 'gasket', 'QR,ST', 'K,L;M', 'W4V', '18"', '9-foot hose, 3yard', '  rsTUv  '])[p_partkey % 20 + 1],
+    CASE p_partkey % 20 WHEN 15 THEN 'KV' || lpad(p_partkey::VARCHAR, 6, '0') WHEN 16 THEN '731-' || p_partkey WHEN 17 THEN 'worn label, ' || p_partkey WHEN 18 THEN p_name || '?' ELSE replace(p_brand, '#', '-') END) AS token FROM part
 ), pieces AS (
   SELECT seq, token, trim(token) AS t, list_filter(string_split_regex(trim(token), '\s+'), lambda p: true) AS ps FROM score_tokens
 ), scores AS (
@@ -242,7 +242,7 @@ score_tokens AS (
 
 _NAMES = r"""
 raw_names AS (
-  SELECT s_nationkey::VARCHAR AS doc_id, s_suppkey AS seq, coalesce((['McMaster-Carr', '  North Coast Com  ', 'Mcmaster.', 'North   Coast  Com', 'NCC,', 'NCC', 'Modicon', 'Bestlink', 'BD Sensors', '80/20', 'Société Générale', 'OE', 'USS', 'acme', 'McMaster', 'NORCO', 'SE'])[s_suppkey % 20 + 1], s_name) AS raw_name FROM supplier
+  SELECT s_nationkey::VARCHAR AS doc_id, s_suppkey AS seq, coalesce((['mcmaster-carr ', 'NORTH  COAST', 'Modicon:', 'ncc;', 'Larkspur Valves', 'HD Motion', '12/40', 'Café Müller', 'OE', 'usS', 'quill', 'SE', 'LARCO', 'US   Sensor', 'Omega!', 'Škoda Ŵerke', 'LV'])[s_suppkey % 20 + 1], s_name) AS raw_name FROM supplier
 ), named AS (
   SELECT *, trim(regexp_replace(regexp_replace(lower(trim(strip_accents(raw_name))), '\s+', ' ', 'g'), '[.,;:!?]+$', '')) AS key FROM raw_names
 ), known(canonical, canon_idx, alias) AS (VALUES
@@ -314,15 +314,26 @@ def _ord(select):
     return _sql([_ORDERS], select)
 
 
-_ROUND_TRIP = """SELECT doc_id, coalesce(n_parts, 0)::INT AS n_parts, coalesce(n_occurrences, 0)::INT AS n_occurrences, coalesce(n_suppliers, 0)::INT AS n_suppliers FROM (SELECT DISTINCT doc_id FROM pages)
-LEFT JOIN (SELECT doc_id, count(DISTINCT key) AS n_parts, count(*) AS n_occurrences FROM keyed GROUP BY ALL) USING (doc_id)
-LEFT JOIN (SELECT doc_id, count(DISTINCT (key, canonical, part_text)) AS n_suppliers FROM accepted_rows GROUP BY ALL) USING (doc_id)"""
+_PART_ROWS = """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_seq) - 1 AS INT) AS nth, description, total_quantity, uom, commodity, internal_parts, occurrences, coalesce(suppliers, '') AS suppliers
+FROM (SELECT doc_id, key, min(record_seq) AS first_seq, arg_min(cleaned, record_seq) AS description, sum(coalesce(quantity, 0)::DECIMAL(38, 6))::DOUBLE AS total_quantity, arg_min(uom, record_seq) FILTER (uom <> '') AS uom, arg_min(commodity, record_seq) FILTER (commodity <> '') AS commodity,
+    string_agg(internal_part || ':' || printf('%.2f', coalesce(quantity, 0)::DOUBLE) || ':' || coalesce(parent, ''), '|' ORDER BY record_seq) AS occurrences FROM keyed GROUP BY doc_id, key)
+JOIN (SELECT doc_id, key, string_agg(internal_part, '|' ORDER BY seq) AS internal_parts FROM (SELECT doc_id, key, internal_part, min(record_seq) AS seq FROM keyed GROUP BY ALL) GROUP BY ALL) USING (doc_id, key)
+LEFT JOIN (SELECT doc_id, key, string_agg(canonical || ' ' || part_text, '|' ORDER BY seq) AS suppliers FROM (SELECT doc_id, key, canonical, part_text, min(seq) AS seq FROM accepted_rows GROUP BY ALL) GROUP BY ALL) USING (doc_id, key)"""
+_NEW_NAMES = "SELECT doc_id, canonical, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(seq)) - 1 AS INT) AS nth FROM accepted_rows WHERE canonical NOT IN ('North Coast Components', 'McMaster-Carr', 'Schneider Electric', 'OMEGA Engineering', 'U.S. Sensor') GROUP BY doc_id, canonical"
+_DOCUMENT_ROWS = f"""SELECT doc_id, page_count, pattern, coalesce(new_suppliers, '') AS new_suppliers, CAST(coalesce(n_rejected, 0) AS INT) AS n_rejected, CAST(coalesce(n_parts, 0) AS INT) AS n_parts
+FROM (SELECT doc_id, count(*) AS page_count FROM pages GROUP BY ALL) JOIN patterns USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(canonical, '|' ORDER BY nth) AS new_suppliers FROM ({_NEW_NAMES}) GROUP BY ALL) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_rejected FROM supplier_places WHERE dated GROUP BY ALL) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(DISTINCT key) AS n_parts FROM keyed GROUP BY ALL) USING (doc_id)"""
 #: What names the rendering's suppliers resolve to: by alias, or as new names of their own.
 _ACCEPTED = r"""
-accepted_rows AS (
-  SELECT k.doc_id, k.key, s.part_text, CASE s.name_text WHEN 'North Coast' THEN 'North Coast Components' WHEN 'North Coast Com' THEN 'North Coast Components' WHEN 'NCC' THEN 'North Coast Components' WHEN 'McMaster- Carr' THEN 'McMaster-Carr'
+supplier_places AS (
+  SELECT k.doc_id, k.key, s.name_text, s.part_text, regexp_matches(s.part_text, '^\d{4}-\d{1,2}-\d{1,2}$') AS dated, row_number() OVER (PARTITION BY k.doc_id ORDER BY k.group_seq, s.record_seq, s.row_pos) AS seq
+  FROM supplier_rows s JOIN (SELECT *, min(record_seq) OVER (PARTITION BY doc_id, key) AS group_seq FROM keyed) k USING (doc_id, record_seq)
+), accepted_rows AS (
+  SELECT s.doc_id, s.key, s.seq, s.part_text, CASE s.name_text WHEN 'North Coast' THEN 'North Coast Components' WHEN 'North Coast Com' THEN 'North Coast Components' WHEN 'NCC' THEN 'North Coast Components' WHEN 'McMaster- Carr' THEN 'McMaster-Carr'
     WHEN 'OMEGA' THEN 'OMEGA Engineering' WHEN 'US Sensor' THEN 'U.S. Sensor' ELSE s.name_text END AS canonical
-  FROM supplier_rows s JOIN keyed k USING (doc_id, record_seq) WHERE NOT regexp_matches(s.part_text, '^\d{4}-\d{1,2}-\d{1,2}$')
+  FROM supplier_places s WHERE NOT s.dated
 )
 """
 
@@ -334,7 +345,14 @@ SQL = {
     "a7_load_synonyms": _sql([_SYNONYMS], 'SELECT col AS "column", phrase_idx, phrase FROM synonyms'),
     "a8_load_weights": "SELECT 4 AS length_min, 32 AS length_max, 0.5::DOUBLE AS length_in_range_reward, -0.4::DOUBLE AS length_out_of_range_penalty, -0.1::DOUBLE AS whitespace_penalty_per_char, 0.8::DOUBLE AS whitespace_clean_token_ratio_threshold, -0.1::DOUBLE AS lowercase_penalty, -0.2::DOUBLE AS bad_punct_penalty_per_char, 0.1::DOUBLE AS boundary_alnum_reward, 0.35::DOUBLE AS min_confidence",
     "a9_load_aliases": _nam("SELECT canonical, canon_idx, alias FROM known"),
-    "a10_read_result_json": _sql([*_PARSE, _ACCEPTED], _ROUND_TRIP),
+    "a10_read_result_json": _sql([*_PARSE, _ACCEPTED], _PART_ROWS),
+    "a1_scan_words": _render("SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, word_id) - 1 AS INT) AS word_id, text, x0, x1, top, bottom FROM words"),
+    "a6_list_sources": _render("SELECT DISTINCT doc_id, true AS filled FROM pages"),
+    "b1_write_document": _sql([*_PARSE, _ACCEPTED], f"SELECT * FROM ({_PART_ROWS}) WHERE doc_id = 'doc03'"),
+    "b2_batch_write": _sql([*_PARSE, _ACCEPTED], f"SELECT doc_id, page_count, pattern, new_suppliers, n_rejected, n_parts FROM ({_DOCUMENT_ROWS})"),
+    "b5_golden_writer": _sql([*_PARSE, _ACCEPTED], f"SELECT doc_id, page_count, pattern, n_parts, total, true AS timeless FROM ({_DOCUMENT_ROWS}) LEFT JOIN (SELECT doc_id, round(sum(coalesce(quantity, 0)), 2)::DOUBLE AS total FROM keyed GROUP BY ALL) USING (doc_id)"),
+    "j8_new_supplier_candidates": _sql([*_PARSE, _ACCEPTED], _NEW_NAMES),
+    "k13_metadata": _sql([*_PARSE, _ACCEPTED], _DOCUMENT_ROWS),
     "b3_inspect": _pat("SELECT doc_id, n.page_count, w.n_words, pattern, round(match_rate, 6) AS match_rate, columns FROM (SELECT doc_id, count(*) AS page_count FROM pages GROUP BY ALL) n JOIN (SELECT doc_id, count(*) AS n_words FROM words GROUP BY ALL) w USING (doc_id) JOIN patterns USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(col, ',' ORDER BY rnk) AS columns FROM bands WHERE page = 0 GROUP BY ALL) USING (doc_id)"),
     "c1_bbox_measures": _render("SELECT doc_id, page, word_id, x1 - x0 AS width, bottom - top AS height, (x0 + x1) / 2 AS x_center FROM words"),
     "c2_span_contains": _lay('SELECT w.doc_id, w.page, b.col AS "column", count(*) AS n FROM words w JOIN bands b ON b.doc_id = w.doc_id AND b.page = w.page AND (w.x0 + w.x1) / 2 >= b.x_min AND (w.x0 + w.x1) / 2 <= b.x_max GROUP BY ALL'),
@@ -404,8 +422,9 @@ SQL = {
     "k10_dedupe_suppliers": _ord("SELECT doc_id, key, canonical, part_text, record_seq FROM unique_offers"),
     "k11_hard_rejected": _ord("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY group_seq, record_seq) - 1 AS INT) AS nth, part_text AS token, reason, 0 AS page, 0 AS \"row\" FROM offers WHERE reason = 'date_shaped'"),
     "k12_dedupe_warnings": _pat("SELECT doc_id, code, page FROM (SELECT p.doc_id, 0 AS k, p.page, 'ocr_fallback_used' AS code FROM pages p LEFT JOIN words w USING (doc_id, page) GROUP BY ALL HAVING count(w.text) < 90 UNION ALL SELECT doc_id, 2, NULL, 'low_confidence_internal_pattern' FROM patterns WHERE fallback) QUALIFY row_number() OVER (PARTITION BY doc_id, code ORDER BY k, page NULLS FIRST) = 1"),
-    "k14_assemble_document": _sql([*_PARSE, _ACCEPTED], _ROUND_TRIP),
+    "k14_assemble_document": _sql([*_PARSE, _ACCEPTED], _PART_ROWS),
     "k15_contract_validation": _rec("SELECT doc_id, arg_min(cleaned, record_seq) AS description, 'total_quantity' AS rule FROM keyed GROUP BY doc_id, key HAVING min(record_seq) % 7 = 0"),
     "l1_occurrence_lines": _ord("SELECT k.doc_id, g.first_seq, CAST(row_number() OVER (PARTITION BY k.doc_id, k.key ORDER BY k.record_seq) - 1 AS INT) AS occ_idx, k.internal_part || '  |  ' || CASE WHEN len(g.description) > 24 THEN g.description[1:21] || '...' ELSE g.description END || '  |  ' || coalesce(s.names, '(none)') AS line FROM ks k JOIN grouped g USING (doc_id, key) LEFT JOIN (SELECT doc_id, key, string_agg(canonical || ' ' || part_text, '; ' ORDER BY group_seq, record_seq) AS names FROM unique_offers GROUP BY ALL) s USING (doc_id, key)"),
     "l2_inspect_counts": _render("SELECT doc_id, page_count, n_words FROM (SELECT doc_id, count(*) AS page_count FROM pages GROUP BY ALL) JOIN (SELECT doc_id, count(*) AS n_words FROM words GROUP BY ALL) USING (doc_id)"),
 }
+SQL["b4_write_summary"] = f"SELECT line AS value, count(*) AS n FROM ({SQL['l1_occurrence_lines']}) GROUP BY line"

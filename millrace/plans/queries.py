@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from millrace.plans import render
 from millrace.plans.parse import Parse
 from millrace.sources import config, sinks
 from millrace.sources.scratch import Scratch
-from millrace.sources.words import doc_metadata, sparse_pages, word_projection
+from millrace.sources.words import doc_metadata, list_sources, read_words, sparse_pages, word_projection
 
 SPARSE = 90  # the rendering's last pages have fewer words
 _parses: dict[tuple[str, str], Parse] = {}
@@ -50,13 +53,13 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, token, pattern: every shape of part number, and shapes that are none, over the whole part table."""
     k = F.col("p_partkey").cast("string")
-    shapes = ["4/18/2024", "2024-04-18", "1.000000", "", "  ", "1010 X 36", "DMP 331-110-P001-4-5-TAO-", "763020.0220", "flying", "AB,CD", "A,B;C", "X9Z", '60"', "24-inch lead, 2meter", "  abCD  "]
-    token = F.coalesce(F.get(F.array(*map(F.lit, shapes)), (F.col("p_partkey") % 20).cast("int")), F.when(F.col("p_partkey") % 20 == 15, F.concat(F.lit("LB"), F.lpad(k, 6, "0"))).when(F.col("p_partkey") % 20 == 16, F.concat(F.lit("596-"), k)).when(F.col("p_partkey") % 20 == 17, F.concat(F.lit("bad token, "), k)).when(F.col("p_partkey") % 20 == 18, F.concat(F.col("p_name"), F.lit("?"))).otherwise(F.regexp_replace("p_brand", "#", "-")))
+    shapes = ["12/5/2019", "1998-1-30", "37.5000", "", "   ", "88 K 140", "TRV 90-Q-7-B-20-2-PLC-", "410077.3105", "gasket", "QR,ST", "K,L;M", "W4V", '18"', "9-foot hose, 3yard", "  rsTUv  "]
+    token = F.coalesce(F.get(F.array(*map(F.lit, shapes)), (F.col("p_partkey") % 20).cast("int")), F.when(F.col("p_partkey") % 20 == 15, F.concat(F.lit("KV"), F.lpad(k, 6, "0"))).when(F.col("p_partkey") % 20 == 16, F.concat(F.lit("731-"), k)).when(F.col("p_partkey") % 20 == 17, F.concat(F.lit("worn label, "), k)).when(F.col("p_partkey") % 20 == 18, F.concat(F.col("p_name"), F.lit("?"))).otherwise(F.regexp_replace("p_brand", "#", "-")))
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.select(F.col("p_partkey").alias("seq"), token.alias("token"), F.lit(T.FALLBACK_ID).alias("pattern"))
 
 
-RAW_NAMES = ("McMaster-Carr", "  North Coast Com  ", "Mcmaster.", "North   Coast  Com", "NCC,", "NCC", "Modicon", "Bestlink", "BD Sensors", "80/20", "Société Générale", "OE", "USS", "acme", "McMaster", "NORCO", "SE")
+RAW_NAMES = ("mcmaster-carr ", "NORTH  COAST", "Modicon:", "ncc;", "Larkspur Valves", "HD Motion", "12/40", "Café Müller", "OE", "usS", "quill", "SE", "LARCO", "US   Sensor", "Omega!", "Škoda Ŵerke", "LV")
 
 
 def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +89,9 @@ def _order_candidates(spark, d):
 def flagship(spark, d):
     """Parts of all orders: quantities, occurrences and suppliers rolled up by description."""
     recs = _keyed(spark, d).withColumn("doc_id", F.lit("all"))
-    # a supplier counts once a part: distinct pairs are combined before the shuffle
-    whole = recs.groupBy("key").agg(F.sum(F.coalesce("quantity", F.lit(0.0)).cast("decimal(38,6)")).cast("double").alias("total_quantity"), F.count(F.lit(1)).alias("n_occurrences"))
-    pairs = recs.select("key", "l_suppkey").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_suppliers"))
-    return whole.join(pairs, "key").select(F.col("key").alias("description"), "total_quantity", "n_occurrences", "n_suppliers")
+    # a supplier counts once a part: one scan, sums of pairs before the shuffle, then sums of those by part
+    pairs = recs.groupBy("key", "l_suppkey").agg(F.sum(F.coalesce("quantity", F.lit(0.0)).cast("decimal(28,6)")).alias("q"), F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(F.col("key").alias("description")).agg(F.sum("q").cast("double").alias("total_quantity"), F.sum("n").alias("n_occurrences"), F.count(F.lit(1)).alias("n_suppliers"))
 
 
 def _of(relation: str, *columns: str):
@@ -105,12 +107,64 @@ def _metadata_fixture(spark, d):
     return doc_metadata(s.select(F.col("s_suppkey").cast("string").alias("doc_id"), F.when(F.col("s_suppkey") % 3 == 0, "   ").otherwise(F.concat(F.lit(" "), "s_name")).alias("title"), F.lit(None).cast("string").alias("creator"), F.lit("pdf").alias("producer")))
 
 
-def _json_round_trip(spark, d):
-    at = Scratch(spark, "json").at
-    sinks.write_documents(parsed(spark, d).documents, at)
-    back = sinks.read_documents(spark, at)
-    count = lambda f: F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p[f]))
-    return back.select("doc_id", F.size("parts").alias("n_parts"), count("occurrences").alias("n_occurrences"), count("suppliers").alias("n_suppliers"))
+def _part_rows(documents):
+    """The content of nested documents, a row a part."""
+    p = documents.select("doc_id", F.posexplode("parts").alias("nth", "p")).select("doc_id", "nth", "p.*")
+    said = lambda o: F.concat_ws(":", o["internal_author_part"], F.format_string("%.2f", o["quantity"]), F.coalesce(o["parent_internal_part"], F.lit("")))
+    named = lambda s: F.concat_ws(" ", s["name_normalized"], s["part_number"])
+    return p.select("doc_id", "nth", "description", "total_quantity", "uom", "commodity", F.array_join("internal_author_parts", "|").alias("internal_parts"), F.array_join(F.transform("occurrences", said), "|").alias("occurrences"), F.array_join(F.transform("suppliers", named), "|").alias("suppliers"))
+
+
+def _written_documents(spark, d, write=sinks.write_documents, some="true"):
+    """The documents, written as JSON and read again."""
+    at = f"{Scratch(spark, 'json').at}/documents"
+    write(parsed(spark, d).documents.filter(some), at)
+    return sinks.read_documents(spark, at)
+
+
+def _golden(spark, d):
+    kind = f"struct<metadata:struct<page_count:bigint,discovered_internal_pattern:string,extracted_at:string>,parts:array<{sinks.PART}>>"
+    g = sinks.golden(parsed(spark, d).documents).withColumn("g", F.from_json("json", kind))
+    total = F.aggregate("g.parts", F.lit(0.0), lambda a, p: a + p["total_quantity"])
+    return g.select("doc_id", F.col("g.metadata.page_count").alias("page_count"), F.col("g.metadata.discovered_internal_pattern").alias("pattern"), F.size("g.parts").alias("n_parts"), F.when(F.size("g.parts") > 0, F.round(total, 2)).alias("total"), F.col("g.metadata.extracted_at").isNull().alias("timeless"))
+
+
+def _word_files(spark, d):
+    """The rendered words as tab-separated files, a document each."""
+    at = f"{Scratch(spark, 'files').at}/words"
+    line = F.concat_ws("\t", "page", "text", "x0", "x1", "top", "bottom")
+    ordered = parsed(spark, d).words.repartition("doc_id").sortWithinPartitions("doc_id", "page", "word_id")
+    ordered.select("doc_id", line.alias("value")).write.partitionBy("doc_id").text(at)
+    return at
+
+
+def _doc_of(path):
+    return F.regexp_extract(path, "doc_id=([^/]+)", 1).alias("doc_id")
+
+
+def _scanned(spark, d):
+    return read_words(spark, _word_files(spark, d), glob="*.txt", recursive=True).select(_doc_of("doc_id"), "page", "word_id", "text", "x0", "x1", "top", "bottom")
+
+
+def _listed(spark, d):
+    return list_sources(spark, _word_files(spark, d), recursive=True, glob="*.txt").select(_doc_of("path"), (F.col("length") > 0).alias("filled"))
+
+
+def _configured(spark, value, read):
+    """``read`` of a configuration file that holds ``value``; JSON is YAML, too."""
+    at = f"{Scratch(spark, 'config').at}/file"
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(at)
+    return read(spark, at)
+
+
+def _summary_file(spark, d):
+    at = f"{Scratch(spark, 'summary').at}/lines"
+    sinks.write_summary(_order_lines(spark, d), at)
+    return spark.read.text(at).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _order_lines(spark, d):
+    return rollup.occurrence_lines(rollup.parts(_keyed(spark, d), rollup.unique_suppliers(scoring.accepted(_order_candidates(spark, d)))), 24)
 
 
 def _inspect(spark, d):
@@ -158,9 +212,8 @@ def _warnings(spark, d):
     return parsed(spark, d).warnings.select("doc_id", "code", "page")
 
 
-def _document_rows(spark, d):
-    x = parsed(spark, d).documents
-    return x.select("doc_id", F.col("metadata.page_count").alias("page_count"), F.col("metadata.discovered_internal_pattern").alias("pattern"), F.array_join("metadata.new_supplier_candidates", "|").alias("new_suppliers"), F.coalesce(F.size("metadata.hard_rejected_candidates"), F.lit(0)).alias("n_rejected"), F.size("parts").alias("n_parts"))
+def _document_rows(x):
+    return x.select("doc_id", F.col("metadata.page_count").alias("page_count"), F.col("metadata.discovered_internal_pattern").alias("pattern"), F.coalesce(F.array_join("metadata.new_supplier_candidates", "|"), F.lit("")).alias("new_suppliers"), F.coalesce(F.size("metadata.hard_rejected_candidates"), F.lit(0)).alias("n_rejected"), F.size("parts").alias("n_parts"))
 
 
 QUERIES = {
@@ -168,12 +221,17 @@ QUERIES = {
     "a3_word_projection": lambda s, d: word_projection(parsed(s, d).words.withColumn("top", F.col("top").cast("string"))).select("doc_id", "page", "word_id", "text", "x0", "x1", "top", "bottom"),
     "a4_doc_metadata": _metadata_fixture,
     "a5_sparse_page_warning": lambda s, d: sparse_pages(parsed(s, d).words, parsed(s, d).pages, SPARSE),
-    "a7_load_synonyms": lambda s, d: config.synonym_table(s).select("column", "phrase_idx", "phrase"),
-    "a8_load_weights": lambda s, d: config.weight_table(s),
-    "a9_load_aliases": lambda s, d: config.alias_table(s).select("canonical", "canon_idx", "alias"),
-    "a10_read_result_json": _json_round_trip,
+    "a1_scan_words": _scanned,
+    "a6_list_sources": _listed,
+    "a7_load_synonyms": lambda s, d: config.synonym_table(s, _configured(s, config.SYNONYMS, config.read_synonyms)).select("column", "phrase_idx", "phrase"),
+    "a8_load_weights": lambda s, d: config.weight_table(s, _configured(s, asdict(config.Weights()), config.read_weights)),
+    "a9_load_aliases": lambda s, d: config.alias_table(s, _configured(s, config.ALIASES, config.read_aliases)).select("canonical", "canon_idx", "alias"),
+    "a10_read_result_json": lambda s, d: _part_rows(_written_documents(s, d)),
+    "b1_write_document": lambda s, d: _part_rows(_written_documents(s, d, sinks.export_documents, "doc_id = 'doc03'")),
+    "b2_batch_write": lambda s, d: _document_rows(_written_documents(s, d)),
+    "b4_write_summary": _summary_file,
     "b3_inspect": _inspect,
-    "b5_golden_writer": lambda s, d: sinks.golden(parsed(s, d).documents).select("doc_id", F.length("json").alias("n_chars")),
+    "b5_golden_writer": _golden,
     "c1_bbox_measures": lambda s, d: geometry.bbox_measures(parsed(s, d).words).select("doc_id", "page", "word_id", "width", "height", "x_center"),
     "c2_span_contains": _contains,
     "c3_span_overlaps": _overlaps,
@@ -245,10 +303,10 @@ QUERIES = {
     "k10_dedupe_suppliers": lambda s, d: rollup.unique_suppliers(scoring.accepted(_order_candidates(s, d))).select("doc_id", "key", "canonical", "part_text", "record_seq"),
     "k11_hard_rejected": lambda s, d: rollup.hard_rejected(_order_candidates(s, d)),
     "k12_dedupe_warnings": _warnings,
-    "k13_metadata": _document_rows,
-    "k14_assemble_document": _json_round_trip,
+    "k13_metadata": lambda s, d: _document_rows(parsed(s, d).documents),
+    "k14_assemble_document": lambda s, d: _part_rows(parsed(s, d).documents),
     "k15_contract_validation": lambda s, d: rollup.violations(parsed(s, d).parts.withColumn("total_quantity", F.when(F.col("first_seq") % 7 == 0, -1.0).otherwise(F.col("total_quantity")))),
-    "l1_occurrence_lines": lambda s, d: rollup.occurrence_lines(rollup.parts(_keyed(s, d), rollup.unique_suppliers(scoring.accepted(_order_candidates(s, d)))), 24),
+    "l1_occurrence_lines": _order_lines,
     "l2_inspect_counts": lambda s, d: parsed(s, d).inspect()["counts"].select("doc_id", "page_count", "n_words"),
 }
 
@@ -266,6 +324,3 @@ def _lower_ids(spark, d):
     doc = F.col("doc_id").cast("int") % 3
     return s.select("doc_id", "seq", F.when(doc == 0, F.concat(F.lit("ab"), digits)).when(doc == 1, F.concat(F.lit("AB"), digits)).otherwise(F.lit("--")).alias("token"))
 
-
-def inspect(spark, sf_dir):
-    return _inspect(spark, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.scratch import Scratch
 
-DOCS, SLOTS, PER_PAGE, WIDTH, HEIGHT = 20, 5, 37, 540.0, 560.0
+DOCS, PER_DOC, SLOTS, PER_PAGE, WIDTH, HEIGHT = 20, 100, 5, 37, 540.0, 560.0
 SUPPLIERS = ("North Coast Com", "McMaster- Carr", "OMEGA", "NCC", "Bestlink", "Allen Bradley", "US Sensor", "Acme, Inc")
 HEADER = (("Part", 20, 50), ("Identifier", 52, 84), ("Description", 110, 160), ("Mfg", 190, 212), ("Name", 214, 240), ("Mfg", 270, 292), ("Part", 294, 320), ("Quantity", 350, 390), ("UM", 410, 422), ("Commodity", 440, 490))
 TITLE = ("Multi-Level", "Explosion", "By", "Parent", "Part", "Identifier")
@@ -26,7 +26,8 @@ def _word(text, x0, x1, when=None, dy=0):
 def part_lines(part: DataFrame) -> DataFrame:
     """doc_id, page, line (slot on the page), slot, k and the part's columns: one row a line."""
     k = F.col("p_partkey")
-    base = part.select(k.alias("k"), "p_name", "p_brand", "p_type", "p_size", (k % DOCS).alias("d"))
+    docs = max(DOCS, part.count() // PER_DOC)  # documents grow in number with the table, not in length
+    base = part.select(k.alias("k"), "p_name", "p_brand", "p_type", "p_size", (k % docs).alias("d"))
     base = base.withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy("k")) - 1)
     rows = base.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
     at = F.col("r") * SLOTS + F.col("slot")

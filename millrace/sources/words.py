@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.functions.text import blank_to_null
 
@@ -40,57 +39,40 @@ def list_sources(spark: SparkSession, directory: str, recursive: bool = False, g
     return files.select("path", "length").orderBy("path")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _WordReader(DataSourceReader):
-    """One partition a file; PDF text needs a library that is asked for only here, tab-separated words need none."""
-
-    def __init__(self, options: dict):
-        import glob
-        import os
-
-        at = options["path"]
-        self.kind = options.get("kind", "tsv")
-        self.x, self.y = float(options.get("x_tolerance", 1.5)), float(options.get("y_tolerance", 2.0))
-        self.paths = sorted(glob.glob(os.path.join(at, "**" if options.get("recursive") == "true" else "", f"*.{self.kind}"), recursive=True)) if os.path.isdir(at) else [at]
-        if not self.paths or not all(map(os.path.isfile, self.paths)):
-            raise FileNotFoundError(at)
-
-    def partitions(self):
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition):
-        if self.kind == "pdf":
-            yield from self._pdf(partition.path)
-            return
-        with open(partition.path, encoding="utf-8") as f:
-            for n, line in enumerate(f):
-                page, text, x0, x1, top, bottom = line.rstrip("\n").split("\t")
-                yield partition.path, int(page), n, text, float(x0), float(x1), float(top), float(bottom), None, None
-
-    def _pdf(self, path: str):
-        try:
-            import pdfplumber
-        except ImportError as e:
-            raise RuntimeError("reading PDF files needs the pdfplumber package") from e
-        with pdfplumber.open(path) as pdf:
-            for page, p in enumerate(pdf.pages):
-                for n, w in enumerate(p.extract_words(x_tolerance=self.x, y_tolerance=self.y, keep_blank_chars=False, use_text_flow=False, extra_attrs=["fontname", "size"])):
-                    yield path, page, n, str(w["text"]), float(w["x0"]), float(w["x1"]), float(w["top"]), float(w["bottom"]), w.get("fontname"), w.get("size")
-
-
-class WordSource(DataSource):
-    """``spark.read.format("millrace_words").option("kind", "pdf" | "tsv").load(path)`` after ``spark.dataSource.register(WordSource)``."""
-
-    @classmethod
-    def name(cls):
-        return "millrace_words"
-
-    def schema(self):
-        return WORDS
-
-    def reader(self, schema):
-        return _WordReader(self.options)
+def pdf_rows(path: str, content: bytes, opened, x_tolerance: float, y_tolerance: float):
+    """The words of a PDF file's pages, by ``opened`` (which takes a binary file and gives pages that extract words)."""
+    import io
+
+    with opened(io.BytesIO(content)) as pdf:
+        for page, p in enumerate(pdf.pages):
+            for n, w in enumerate(p.extract_words(x_tolerance=x_tolerance, y_tolerance=y_tolerance, keep_blank_chars=False, use_text_flow=False, extra_attrs=["fontname", "size"])):
+                yield path, page, n, str(w["text"]), float(w["x0"]), float(w["x1"]), float(w["top"]), float(w["bottom"]), w.get("fontname"), w.get("size")
+
+
+def _pdf_words(batches, x_tolerance: float, y_tolerance: float):
+    import pyarrow as pa
+
+    try:
+        import pdfplumber
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs the pdfplumber package") from e
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in WORDS.split(", "))])
+    for batch in batches:
+        for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = list(pdf_rows(path, content, pdfplumber.open, x_tolerance, y_tolerance))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def read_words(spark: SparkSession, path: str, kind: str = "tsv", glob: str | None = None, recursive: bool = False, x_tolerance: float = 1.5, y_tolerance: float = 2.0) -> DataFrame:
+    """The words of all matching files in any store that Spark reads; doc_id is the file's path. kind ``pdf`` needs a library, where tasks
+    run; ``tsv`` has a line a word: page, text, x0, x1, top, bottom. A missing path raises when the plan is made."""
+    options = {"pathGlobFilter": glob or f"*.{kind}", "recursiveFileLookup": str(recursive).lower()}
+    if kind == "pdf":
+        files = spark.read.format("binaryFile").options(**options).load(path).select("path", "content")
+        return files.mapInArrow(lambda batches: _pdf_words(batches, x_tolerance, y_tolerance), WORDS)
+    files = spark.read.options(**options).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), "value")
+    each = files.select("doc_id", F.posexplode(F.split("value", "\n")).alias("word_id", "line")).filter("line != ''")
+    field = lambda k: F.get(F.split("line", "\t"), k)
+    return word_projection(each.select("doc_id", "word_id", *(field(k).alias(n) for k, n in enumerate(("page", "text", "x0", "x1", "top", "bottom")))))

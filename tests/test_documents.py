@@ -10,7 +10,7 @@ from millrace.operators import lines, records, rollup
 from millrace.plans import oracle, queries
 from millrace.plans.parse import HeaderError, Parse
 from millrace.sources import sinks
-from millrace.sources.words import WordSource, list_sources
+from millrace.sources.words import list_sources, pdf_rows, read_words
 
 SF = "/root/testdata/sf0.001"
 WORDS = "doc_id string, page int, word_id int, text string, x0 double, x1 double, top double, bottom double, fontname string, size double"
@@ -123,17 +123,46 @@ def test_sources_and_sinks(spark, tmp_path):
     assert name(list_sources(spark, str(tmp_path / "in")).collect()) == ["a.pdf", "b.pdf"]
     assert name(list_sources(spark, str(tmp_path / "in"), recursive=True).collect()) == ["a.pdf", "b.pdf", "c.pdf"]
     (tmp_path / "w.tsv").write_text("0\tLB000300\t22\t70\t60\t69\n1\té\t1\t2\t3\t4\n")
-    spark.dataSource.register(WordSource)
-    got = spark.read.format("millrace_words").load(str(tmp_path / "w.tsv")).orderBy("word_id").collect()
-    assert [(r.page, r.text, r.x0) for r in got] == [(0, "LB000300", 22.0), (1, "é", 1.0)]
+    got = read_words(spark, str(tmp_path / "w.tsv")).orderBy("word_id").collect()
+    assert [(r.page, r.word_id, r.text, r.x0) for r in got] == [(0, 0, "LB000300", 22.0), (1, 1, "é", 1.0)] and got[0].doc_id.endswith("/w.tsv")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_words(spark, str(tmp_path / "none"))
     p = parse(spark, page(*BODY))
     sinks.write_documents(p.documents, str(tmp_path / "out"))
     assert sinks.read_documents(spark, str(tmp_path / "out")).first().parts[0].description == "steel 15 rod"
+    sinks.export_documents(p.documents, str(tmp_path / "single"))
+    (back,) = sinks.read_documents(spark, str(tmp_path / "single")).collect()
+    assert back.parts == sinks.read_documents(spark, str(tmp_path / "out")).first().parts and back.metadata.page_count == 1
     sinks.write_summary(p.summary, str(tmp_path / "summary"))
     assert spark.read.text(str(tmp_path / "summary")).count() == 1
     assert "extracted_at" not in sinks.golden(p.documents).first().json
 
 
+def test_pdf_pages():
+    class Page:
+        def __init__(self, *texts):
+            self.texts = texts
+
+        def extract_words(self, **options):
+            assert (options["x_tolerance"], options["y_tolerance"]) == (1.5, 2.0)
+            return [{"text": t, "x0": 1, "x1": 2, "top": 3, "bottom": 4, "fontname": "f", "size": 9.0} for t in self.texts]
+
+    class File:
+        pages = [Page("a", "b"), Page(), Page("c")]
+
+        def __init__(self, content):
+            assert content.read() == b"pdf"
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    got = list(pdf_rows("p", b"pdf", File, 1.5, 2.0))
+    assert [r[:4] for r in got] == [("p", 0, 0, "a"), ("p", 0, 1, "b"), ("p", 2, 0, "c")] and got[0][4:] == (1.0, 2.0, 3.0, 4.0, "f", 9.0)
+
+
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
