@@ -107,13 +107,15 @@ def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         merged[~fresh], common[~fresh] = held, prefix
         merged[new] = rows(active, start[active])
         # the new suffixes and those behind them
-        after = ranks + 1
-        changed = np.unique(np.concatenate([ranks, after[(after < n) & (after + m < n + len(active))]]))
-        here = order[changed]
-        before = np.where(changed > 0, order[changed - 1], -1)
-        alike = (before >= 0) & (symbols[here] == symbols[before]) & (symbols[here] != 0xFF)
+        touched = np.zeros(n + 1, dtype=bool)
+        touched[ranks] = touched[ranks + 1] = True
+        changed = np.flatnonzero(touched[: n - m + len(active)])
+        here, before = order[changed], order[changed - 1]
+        alike = np.flatnonzero((changed > 0) & (symbols[here] == symbols[before]))
         value = np.zeros(len(changed), dtype=np.uint8)
-        if alike.any():
+        if len(alike):
+            # spans by their start, so that nothing between them is read
+            alike = alike[np.argsort(before[alike], kind="stable")]
             spans = np.stack([before[alike] + 1, here[alike] + 1], axis=1).ravel()
             value[alike] = np.minimum.reduceat(np.append(prefix, np.uint8(0xFF)), spans)[::2] + np.uint8(1)
         common[m + changed] = value
