@@ -281,6 +281,8 @@ def _peeled(large: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame,
     around = measured.groupBy("bucket").agg(F.first("size").alias("_size"), *(F.count_if(F.col(f"d{k}") <= COORDS - least).alias(f"n{k}") for k in range(PIVOTS)))
     valid = {k: F.col(f"n{k}") >= F.greatest(F.lit(16), F.col("_size") * SHARE) for k in range(PIVOTS)}
     good = around.join(pivots, "bucket").select("bucket", *(F.when(valid[k], F.col(f"digest{k}")).alias(f"digest{k}") for k in range(PIVOTS)))
+    # as tables of their own, so that a hot bucket's rows can be split
+    good = scratch.keep(good)
     judged = scratch.keep(measured.join(good, "bucket"))
     near = lambda k, most: F.col(f"digest{k}").isNotNull() & (F.col(f"d{k}") <= most)
     met = F.array(*(F.when(near(k, 2 * (COORDS - least)), F.col(f"digest{k}")) for k in range(PIVOTS)))
@@ -288,7 +290,7 @@ def _peeled(large: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame,
     edges = scratch.keep(edges.distinct())
     gone = F.greatest(*(near(k, COORDS - least) for k in range(PIVOTS)))
     rest = scratch.keep(judged.filter(~gone).select("bucket", "size", "digest", "low"))
-    scratch.drop(measured, pivots, judged)
+    scratch.drop(measured, pivots, good, judged)
     return edges, rest
 
 
