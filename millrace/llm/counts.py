@@ -3,11 +3,13 @@
 The pre-token pattern looks at most two characters ahead and never back, so a match that starts at a boundary depends only on what follows.
 After an edit the pieces that end two characters before it are as they were; splitting goes on from there through the
 edited region until a boundary falls on an old one behind it; all later pieces are as they were, too. Only the pieces between are
-re-encoded. The tree's leaves are slots of up to ``SLOT`` pieces and carry sums of code points and of tokens; an edit replaces the
-pieces of the slots it touches and updates the sums on their paths to the root.
+re-encoded. The tree's leaves are slots of pieces and carry sums of code points and of tokens; an edit spreads the new pieces over the
+slots it touches and updates the sums on their paths to the root. Slots begin with ``SLOT`` pieces; where an edit would leave more than
+``FULL`` in one, new slots are put in and the tree is built anew from the leaves' sums, without counting anything again.
 
-Special-token strings inside a text are counted as ordinary text. Null texts count as empty; empty texts have no pieces;
-repeated rows give a row each; an empty table gives none; further columns are ignored.
+Special-token strings inside a text are counted as ordinary text. Null texts count as empty; empty texts have no pieces, texts of any length
+are counted whole; equal texts give equal values, repeated rows a row each, null ids are kept; an empty table gives none; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 from .tokens import byte_codec
 
-SLOT, MAX_CACHE = 16, 300_000
+SLOT, FULL, MAX_CACHE = 16, 64, 300_000
 #: How many code points behind its end a piece may depend on: blanks give back their last one, a contraction has two letters.
 SIGHT = 2
 
@@ -66,9 +68,12 @@ class CountedText:
         tokens, chars = np.array(counter.counts(pieces), dtype=np.int64), np.array(list(map(len, pieces)), dtype=np.int64)
         starts = np.arange(0, max(1, len(pieces)), SLOT)
         self.slots = [pieces[k : k + SLOT] for k in starts.tolist()]
-        self.width = 1 << max(0, (len(self.slots) - 1).bit_length())
+        self._widen()
         self.chars, self.tokens = (self._tree(np.add.reduceat(x, starts) if len(x) else np.zeros(1, dtype=np.int64)) for x in (chars, tokens))
 
+    def _widen(self) -> None:
+        self.width = 1 << max(0, (len(self.slots) - 1).bit_length())
+
     def _tree(self, leaves: np.ndarray) -> np.ndarray:
         tree = np.zeros(2 * self.width, dtype=np.int64)
         tree[self.width : self.width + len(leaves)] = leaves
@@ -157,10 +162,18 @@ class CountedText:
                 break
             more()
         self.counter.encoded += len(fresh)
-        for s in range(first + 1, slot + 1):
-            if s < len(self.slots):
-                self._set(s, [])
-        self._set(first, head + fresh + tail)
+        pieces, stop = head + fresh + tail, min(slot + 1, len(self.slots))
+        share = -(-len(pieces) // (stop - first))
+        if share > FULL:
+            own = [pieces[k : k + SLOT] for k in range(0, len(pieces), SLOT)]
+            leaves = [x[self.width : self.width + len(self.slots)] for x in (self.chars, self.tokens)]
+            self.slots[first:stop] = own
+            self._widen()
+            sums = ([sum(map(len, p)) for p in own], [sum(map(self.counter.count, p)) for p in own])
+            self.chars, self.tokens = (self._tree(np.concatenate([x[:first], np.array(n, dtype=np.int64), x[stop:]])) for x, n in zip(leaves, sums, strict=True))
+        else:
+            for k, s in enumerate(range(first, stop)):
+                self._set(s, pieces[k * share : (k + 1) * share])
         return len(fresh)
 
 
