@@ -9,6 +9,9 @@ Each stage works on all rows its predecessor kept, read again from Parquet, and
 * packing: what is left becomes pieces of fixed sequences.
 
 Labels come from the input folder; only the learned model, never a row's label, decides.
+
+All stages take null texts as empty ones (and leave them null), rows with null or repeated ids as rows of their own, texts of any length whole,
+and pass further columns through whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from millrace.llm.common import Scratch, table, text_of
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row is judged by its text alone; rows of equal texts share their fate. Null and empty texts stay, as nothing in them is toxic."""
     return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without words stay, one of each: they are copies of each other."""
+    """One row of each class stays, whatever its ids: classes are told apart by a digest. Texts without words, null ones among them, are copies
+    of each other. Ties go to the least id, nulls last, then the least text digest; of rows equal in both, any one stays."""
     scratch = Scratch(spark, "near")
     linked = ngram_join.linked(docs, scratch=scratch)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("of")
@@ -39,14 +44,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows count in the order of their ids (nulls last), then of their texts' digests; the first keeps what repeats. A row that had a text
+    and loses all of it goes; null and empty texts stay."""
     return suffix_dedup.deduplicated(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; equal texts are replaced alike."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row, repeated ones too, becomes pieces of its own; a null or empty text is one end id."""
     return packing.packed(docs)
 
 
