@@ -198,8 +198,8 @@ def test_components(spark):
 # ---- repeated bytes
 
 
-def brute_removed(docs):
-    seen, out = set(), {}
+def brute_removed(docs, keep=False):
+    seen, out, left = set(), {}, {}
     for i, t in sorted(docs):
         raw = (t or "").encode()
         gone = bytearray(len(raw))
@@ -210,8 +210,9 @@ def brute_removed(docs):
             else:
                 seen.add(w)
         runs = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
+        left[i] = t and bytes(x for x, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")
         out[i] = (len(raw), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(raw, gone, strict=True) if not g)).hexdigest())
-    return out
+    return left if keep else out
 
 
 def test_suffix_order():
@@ -291,6 +292,47 @@ def test_one_row_of_each_class_whatever_its_ids(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def odd_documents(spark):
+    """Null, repeated and mixed ids over copies, near copies, texts that share a passage, toxic, personal and empty ones."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    base = [rng.choice(words) for _ in range(80)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(12)]
+    texts += [texts[0], texts[0], " ".join(base), " ".join([*base[:40], "new", *base[41:]]), " ".join([*base, "tail"]), passage + " one end", "begin " + passage, passage]
+    texts += [None, None, "", " ", "mail ann@corp.example and ann@corp.example", "call +1 (988) 555-2485", "vile zorgh zorgh text", "vile zorgh zorgh text"]
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(len(texts))]
+    return spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+
+
+def test_stages_lose_no_row(spark, monkeypatch):
+    """Rows in are the rows kept and those that brute force names as removed, whatever their ids."""
+    docs = odd_documents(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    order = lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).hexdigest())
+    plain = lambda xs: sorted(((r[0], r[1]) for r in xs), key=repr)
+
+    model = corpus_pipeline.toxicity.Model({" zorgh ": 3.0}, frozenset(), (-3.0, 1.0, 3.0))
+    monkeypatch.setattr(corpus_pipeline.toxicity, "learn", lambda *_: model)
+    assert plain(corpus_pipeline.drop_toxic(spark, docs, SF).collect()) == plain(r for r in rows if "zorgh" not in (r[1] or ""))
+
+    ordered = sorted(rows, key=order)
+    links = brute_links([t for _, t in ordered])
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert plain(got) == plain(ordered[k] for k, (root, _) in links.items() if root == k)
+
+    want = brute_removed([(k, t) for k, (_, t) in enumerate(ordered)], keep=True)
+    assert plain(corpus_pipeline.cut_repeats(spark, docs, SF).collect()) == plain((i, want[k]) for k, (i, t) in enumerate(ordered) if not t or want[k])
+
+    tidy = lambda t: t and t.replace("ann@corp.example", "[EMAIL]").replace("+1 (988) 555-2485", "[PHONE]")
+    assert plain(corpus_pipeline.redact(spark, docs, SF).collect()) == plain((i, tidy(t)) for i, t in rows)
+
+    pieces = corpus_pipeline.pack(spark, docs, SF).collect()
+    codec = corpus_pipeline.packing.byte_codec()
+    ends = lambda t: (*codec.encode(t).tolist(), 1)
+    assert sorted(((r.doc_id, tuple(np.frombuffer(r.ids, dtype="<u4").tolist())) for r in pieces), key=repr) == sorted(((i, ends(t)) for i, t in rows), key=repr)
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_on_odd_tables(spark, name, stage):
     columns = "doc_id long, text string, lang string, source string, n_chars long, cover string, rank int, _digest string"

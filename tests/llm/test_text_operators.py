@@ -239,6 +239,10 @@ def test_counts_follow_edits(spark):
             doc.edit(a, b, new)
             assert doc.text() == t and [p for s in doc.slots for p in s] == c.split(t)
             assert (doc.n_tokens, doc.n_chars) == (sum(map(c.count, c.split(t))), len(t))
+            assert max(map(len, doc.slots)) <= counts.FULL
+    grown = counts.CountedText("a few words", c)
+    grown.edit(5, 5, " more and more" * 3000)
+    assert max(map(len, grown.slots)) <= counts.FULL and grown.n_tokens == sum(map(c.count, c.split("a few" + " more and more" * 3000 + " words")))
     long = counts.CountedText("word " * 4000, c)
     assert long.edit(9000, 9004, "other") < 40  # only what the edit touches is encoded again
     got = {r.doc_id: r for r in counts.edited_counts(frame(spark, ODD)).collect()}
